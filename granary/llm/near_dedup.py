@@ -1,13 +1,18 @@
 """Near-duplicate groups: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
 Identical shingle sets are first folded into one class by a 128-bit digest, so that groups of copies cost
-one row. Classes that share a band are compared with the band's smallest class only; the links found join
-classes to components, and a further round compares, within each band, what is still apart. A pair of one
-component needs no comparison, so groups of thousands are never expanded into pairs.
-
-A pair is first pruned by its sizes, then by its signatures, read in batches: after n hashes with m equal,
-the posterior of the similarity (uniform prior) gives P(J >= t) = P(Bin(n + 1, t) <= m), and the pair goes
-once this is under `miss`. Pairs that survive all batches are verified on their full shingle sets.
+one row. Classes that share a band are compared with the band's smallest class, and the links found join
+classes to components. A second round takes, in bands whose classes are still apart, another leader in each
+band, spread over the classes. A third compares in full what is then still apart. A pair of one component
+needs no comparison. Classes that candidate pairs connect form a neighbourhood, which is dealt into blocks
+of bounded size, and pairs of blocks are compared inside a task; only links leave it, and two blocks of one
+component are not compared. So groups of thousands, linked or just not, are never expanded into rows of
+pairs. Pairs across neighbourhoods, which are few, are compared one by one.
+
+A pair is first pruned by its sizes and by a batch of one-bit hashes (equal with probability (1 + J) / 2),
+then by its signatures, read in batches: after n hashes with m equal, the posterior of the similarity
+(uniform prior) gives P(J >= t) = P(Bin(n + 1, t) <= m), and the pair goes once this is under `miss`. Pairs
+that survive all batches are verified on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,20 +24,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .scratch import Scratch, documents
+from .scratch import Scratch, documents, shuffle_partitions
 
 BLOCK = 1 << 20
+#: One-bit hashes of a class, in so many longs: the low bits of the first hashes of its signature.
+LONGS = 3
+SKETCH = [f"s{k}" for k in range(LONGS)]
+#: What a block of classes holds on average at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 17
 _SEEDS = np.random.default_rng(11).integers(0, 2**32, (2, 4096), dtype=np.uint32)
 
 
 def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
-    """MinHash signatures, one row a set; sets are not empty."""
-    out = np.empty((len(sets), hashes), np.uint32)
+    """MinHash signatures, one row a set, of each least value's low 16 bits; sets are not empty."""
+    out = np.empty((len(sets), hashes), np.uint16)
     i = 0
     while i < len(sets):
         j, n = i, 0
@@ -45,7 +55,7 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
         for k in range(hashes):
             np.bitwise_xor(x, _SEEDS[0, k], out=y)
             np.multiply(y, _SEEDS[1, k] | np.uint32(1), out=y)
-            out[i:j, k] = np.minimum.reduceat(y, starts)
+            out[i:j, k] = np.minimum.reduceat(y, starts).astype(np.uint16)
         i = j
     return out
 
@@ -59,12 +69,21 @@ def _signed(width: int, hashes: int):
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[k] for k in full], hashes) if full else None
                 keys, sigs = [None] * len(sets), [None] * len(sets)
+                bits = np.zeros((len(sets), LONGS), np.int64)
+                if full:
+                    bits[full] = np.packbits((sig[:, : 64 * LONGS] & 1).astype(np.uint8), axis=1).view(np.int64)
                 for n, k in enumerate(full):
                     keys[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
                     sigs[k] = sig[n].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                    ["doc_id", "n", "setkey", "sig"],
+                    [
+                        batch.column(0).slice(i, j - i),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(keys, pa.binary()),
+                        pa.array(sigs, pa.binary()),
+                        *(pa.array(bits[:, k]) for k in range(LONGS)),
+                    ],
+                    ["doc_id", "n", "setkey", "sig", *SKETCH],
                 )
 
     return run
@@ -87,7 +106,7 @@ def _banded(bands: int, rows: int):
             for part in range(0, batch.num_rows, 512):
                 some = batch.slice(part, 512)
                 rid = some.column(0).to_numpy(zero_copy_only=False)
-                sig = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint32).reshape(len(rid), -1)
+                sig = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint16).reshape(len(rid), -1)
                 keys = np.empty((len(rid), bands), B.U64)
                 for b in range(bands):
                     value = np.full(len(rid), b + 1, B.U64)
@@ -118,7 +137,7 @@ def _pruned(least: tuple[int, ...], step: int):
         for batch in batches:
             for part in range(0, batch.num_rows, 4096):
                 some = batch.slice(part, 4096)
-                a, b = (np.frombuffer(b"".join(some.column(k).to_pylist()), np.uint32).reshape(some.num_rows, -1) for k in (2, 3))
+                a, b = (np.frombuffer(b"".join(some.column(k).to_pylist()), np.uint16).reshape(some.num_rows, -1) for k in (2, 3))
                 alive, equal = np.arange(some.num_rows), np.zeros(some.num_rows, np.int64)
                 for k, most in enumerate(least):
                     at = slice(k * step, (k + 1) * step)
@@ -130,22 +149,81 @@ def _pruned(least: tuple[int, ...], step: int):
     return run
 
 
-def _verified(part: int, whole: int):
+def enough(shared: np.ndarray | int, na: np.ndarray | int, nb: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    return 100 * shared >= percent * (na + nb - shared)
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), B.U64), np.frombuffer(y.as_buffer(), B.U64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if whole * shared >= part * (len(both) - shared):
+                if enough(overlap(x, y), len(x), len(y), percent):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of the sets of two blocks, by products of their incidence matrices."""
+    gx, gy = np.concatenate(x), np.concatenate(y)
+    words = np.intersect1d(gx, gy)
+    out = np.zeros((len(x), len(y)), np.float32)
+    ix, iy = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    for part in range(0, len(words), 8192):
+        some = words[part : part + 8192]
+        grids = []
+        for g, i, n in ((gx, ix, len(x)), (gy, iy, len(y))):
+            at = np.minimum(np.searchsorted(some, g), len(some) - 1)
+            here = some[at] == g
+            grid = np.zeros((n, len(some)), np.float32)
+            grid[i[here], at[here]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def _compared(least: tuple[int, ...], step: int, percent: int):
+    """Links between two blocks of classes of different components: sizes, signature batches, full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = []
+                for k in range(2):
+                    block = batch.column(k)[row].values
+                    rid, comp = (block.field(f).to_numpy(zero_copy_only=False) for f in ("rid", "comp"))
+                    sig = np.frombuffer(b"".join(block.field("sig").to_pylist()), np.uint16).reshape(len(rid), -1)
+                    sets = [np.frombuffer(x, B.U64) for x in block.field("shingles").to_pylist()]
+                    sides.append((rid, comp, sig, sets, np.array([len(x) for x in sets])))
+                (ra, ca, sa, xa, na), (rb, cb, sb, xb, nb) = sides
+                alive = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+                a, b = np.nonzero(alive)
+                equal = np.zeros(len(a), np.int64)
+                for k, most in enumerate(least):
+                    at = slice(k * step, (k + 1) * step)
+                    equal = equal + (sa[a, at] == sb[b, at]).sum(1)
+                    keep = equal >= most
+                    a, b, equal = a[keep], b[keep], equal[keep]
+                if len(a) > 2000:
+                    shared = overlaps(xa, xb)[a, b]
+                else:
+                    shared = np.array([overlap(xa[i], xb[j]) for i, j in zip(a, b, strict=True)], np.int64)
+                keep = enough(shared, na[a], nb[b], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(ra[a[keep]]), pa.array(rb[b[keep]])], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, miss: float = 1e-9) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
@@ -157,47 +235,93 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     null component. Other columns are ignored. With the defaults a pair at exactly 0.8 misses all bands
     with probability 1.2e-7, a pair at 0.85 with 2e-11.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     hashes = bands * rows
+    if hashes < 64 * LONGS:
+        raise ValueError(f"bands * rows must be {64 * LONGS} at least")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = scratch.table(docs.mapInArrow(_signed(width, hashes), "doc_id long, n long, setkey binary, sig binary"), "signed")
-    classes = signed.where("setkey is not null and doc_id is not null").groupBy("setkey").agg(F.min("doc_id").alias("rid"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    schema = "doc_id long, n long, setkey binary, sig binary, " + ", ".join(f"{c} long" for c in SKETCH)
+    signed = scratch.table(docs.mapInArrow(_signed(width, hashes), schema), "signed")
+    classes = signed.where("setkey is not null and doc_id is not null").groupBy("setkey").agg(F.min("doc_id").alias("rid"), *(F.max(c).alias(c) for c in ("n", "sig", *SKETCH)))
     classes = scratch.table(classes, "classes")
-    # Bands that hold more than one class.
+    # Bands that hold more than one class. XOR with the key is undone by another, so the least XOR names a class.
     banded = classes.select("rid", "sig").mapInArrow(_banded(bands, rows), "key long, rid long")
-    leads = banded.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).where("lead < last")
-    shared = scratch.table(banded.join(leads, "key").select("key", "rid", "lead", "last"), "shared")
+    mixed = F.col("rid").bitwiseXOR(F.col("key"))
+    leads = banded.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.min(mixed).alias("other")).where("lead < last")
+    leads = leads.select("key", "lead", F.col("other").bitwiseXOR(F.col("key")).alias("other"))
+    shared = scratch.table(banded.join(leads, "key"), "shared")
     need = shared.select("rid").distinct()
     sets = docs.join(need, docs.doc_id == need.rid).select("rid", "text").mapInArrow(_sets(width), "rid long, shingles binary")
     sets = scratch.table(sets, "sets")
-    sigs = scratch.table(classes.join(need, "rid").select("rid", "n", "sig"), "sigs")
-    step = rows * 4 if hashes % (rows * 4) == 0 else hashes
+    sigs = scratch.table(classes.join(need, "rid").select("rid", "n", "sig", *SKETCH), "sigs")
+    step = next(k for k in range(min(20, hashes), 0, -1) if hashes % k == 0)
     least = least_matches(hashes, step, percent / 100, miss)
+    (bits,) = least_matches(64 * LONGS, 64 * LONGS, (1 + percent / 100) / 2, miss)
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sigs.select(F.col("rid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    def alike() -> Column:
+        """By size, exactly, and by the one-bit hashes."""
+        equal = 64 * LONGS - sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH)
+        return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (equal >= bits)
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a", "n", *SKETCH), "a").join(side("b", "n", *SKETCH), "b").where(alike()).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sigs.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        b = sigs.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        alive = sized.select("a", "b", "sa", "sb").mapInArrow(_pruned(least, step), "a long, b long")
+        signed = pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").select("a", "b", "sig_a", "sig_b")
+        alive = signed.mapInArrow(_pruned(least, step), "a long, b long")
         x = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
-        return alive.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent, 100), "a long, b long")
+        return scratch.table(alive.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
+
+    def placed(comps: DataFrame) -> DataFrame:
+        """The rows of bands that are in more than one component, with the component of each."""
+        rows = shared.join(comps, shared.rid == comps.id, "left").select("key", "rid", "other", F.coalesce("comp", "rid").alias("comp"))
+        apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return rows.join(apart, "key")
 
-    star = shared.select(F.col("rid").alias("b"), F.explode(F.array("lead", "last")).alias("a")).where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.table(confirmed(star), "links")
+    def led(rows: DataFrame, leader: str) -> DataFrame:
+        return rows.where(F.col("rid") != F.col(leader)).select(F.least("rid", leader).alias("a"), F.greatest("rid", leader).alias("b")).distinct()
+
+    star = led(shared, "lead")
+    near = scratch.table(sketched(star), "near")
+    links = confirmed(near)
+    comps = connected_components(links, scratch)
+    near2 = scratch.table(sketched(led(placed(comps), "other").join(star, ["a", "b"], "left_anti")), "near")
+    links = links.union(confirmed(near2))
     comps = connected_components(links, scratch)
-    # What a band still holds apart is compared in full: pairs of different components only.
-    placed = shared.select("key", "rid").join(comps, shared.rid == comps.id, "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = scratch.table(placed.join(apart, "key"), "apart")
-    left = placed.select("key", F.col("rid").alias("a"), F.col("comp").alias("ca"))
-    right = placed.select("key", F.col("rid").alias("b"), F.col("comp").alias("cb"))
-    rest = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = scratch.table(confirmed(rest), "links")
-    if more.limit(1).count():
-        comps = connected_components(links.union(more), scratch)
-    scratch.drop(shared, sets, sigs, placed, links, more)
+    hoods = connected_components(near.union(near2), scratch).select("id", F.col("comp").alias("hood"))
+    rest = placed(comps).join(hoods, F.col("rid") == hoods.id, "left").select("key", "rid", "comp", F.coalesce("hood", "rid").alias("hood"))
+    rest = scratch.table(rest, "apart")
+    # Across neighbourhoods: by pairs of a band.
+    wide = rest.groupBy("key").agg(F.min("hood").alias("lo"), F.max("hood").alias("hi")).where("lo < hi").select("key")
+    wide = rest.join(wide, "key").join(sigs.select("rid", "n", *SKETCH), "rid")
+    left, right = (wide.select("key", F.col("rid").alias(k), F.col("hood").alias(f"hood_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("n", *SKETCH))) for k in "ab")
+    pairs = left.join(right, (left.key == right.key) & F.expr("a < b and hood_a <> hood_b") & alike()).select("a", "b").distinct()
+    across = confirmed(pairs)
+    # Within: blocks of one component, or of small ones, that hold so many rows and shingles.
+    members = rest.select("rid", "comp", "hood").distinct().join(sigs.select("rid", "n", "sig"), "rid").join(sets, "rid")
+    sizes = rest.select("rid", "comp", "hood").distinct().join(sigs.select("rid", "n"), "rid").groupBy("hood", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    sizes = sizes.withColumn("pool", F.when(F.col("c") >= BLOCK_ROWS // 2, F.col("comp")).otherwise(-1))
+    mixed = sizes.groupBy("hood").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hood")
+    pools = sizes.groupBy("hood", "pool").agg(F.ceil(F.greatest(F.sum("c") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    home = sizes.select("hood", "comp", "pool").join(mixed, "hood").join(pools, ["hood", "pool"])
+    blocks = members.join(home, ["hood", "comp"]).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    blocks = blocks.groupBy("hood", "pool", "part").agg(F.collect_list(F.struct("rid", "comp", "sig", "shingles")).alias("block"))
+    blocks = scratch.table(blocks, "blocks")
+    names = blocks.select("hood", "pool", "part")
+    x, y = names.toDF("hood", "pool_a", "part_a"), names.toDF("hood", "pool_b", "part_b")
+    order = F.struct("pool_a", "part_a") <= F.struct("pool_b", "part_b")
+    couples = x.join(y, "hood").where(order & ~((F.col("pool_a") == F.col("pool_b")) & (F.col("pool_a") >= 0)))
+    for k in "ab":
+        couples = couples.join(blocks.toDF("hood", f"pool_{k}", f"part_{k}", f"block_{k}"), ["hood", f"pool_{k}", f"part_{k}"])
+    within = couples.select("block_a", "block_b").repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(_compared(least, step, percent), "a long, b long")
+    last = scratch.table(within.union(across), "links")
+    if last.limit(1).count():
+        comps = connected_components(links.union(last), scratch)
+    scratch.drop(shared, sets, sigs, rest, blocks, near, near2)
     found = classes.select("setkey", "rid").join(comps, classes.rid == comps.id, "left").select("setkey", F.coalesce("comp", "rid").alias("comp"))
     out = signed.select("doc_id", "n", "setkey").join(found, "setkey", "left")
     return out.select(
