@@ -289,7 +289,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     near = scratch.table(sketched(star), "near")
     links = confirmed(near)
     comps = connected_components(links, scratch)
-    near2 = scratch.table(sketched(led(placed(comps), "other").join(star, ["a", "b"], "left_anti")), "near")
+    over = comps.select(F.col("id").alias("other"), F.col("comp").alias("comp_other"))
+    apart = placed(comps).join(over, "other", "left").where(F.col("comp") != F.coalesce("comp_other", "other"))
+    near2 = scratch.table(sketched(led(apart, "other").join(star, ["a", "b"], "left_anti")), "near")
     links = links.union(confirmed(near2))
     comps = connected_components(links, scratch)
     hoods = connected_components(near.union(near2), scratch).select("id", F.col("comp").alias("hood"))
