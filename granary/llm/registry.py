@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, language_id, near_dedup, quality, token_counts, token_files
 
 QUERIES = {
     "op2_minhash_dedup": near_dedup.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op6_quality": quality.query,
+    "op8_token_files": token_files.query,
+    "op9_language_id": language_id.query,
+    "op10_token_counts": token_counts.query,
 }
 ORACLE_SQL = {
     "op2_minhash_dedup": near_dedup.ORACLE_SQL,
