@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end: int | None = N
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    found = rows.mapInArrow(_written(root, tokenizer, end), "part int, file string, n_docs long, n_ids long, dtype string").collect()
+    found = rows.mapInArrow(_written(root, tokenizer, end), "part long, file string, n_docs long, n_ids long, dtype string").collect()
     parts, n_docs, n_ids = [], 0, 0
     for r in sorted(found, key=lambda r: r.part):
         if r.n_docs:
