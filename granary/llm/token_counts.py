@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .scratch import documents
-from .token_files import KEPT_WORDS, _slices, vocabulary
+from .token_files import TAILS, Kept, _slices, vocabulary
 
 RULES = ("first", "last", "most")
 #: What keeps a text from being encoded by pieces: white space other than single blanks and line feeds
@@ -40,7 +40,7 @@ class SpanEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = Kept()
 
     @classmethod
     def of(cls, path: str) -> SpanEncoder:
@@ -53,14 +53,26 @@ class SpanEncoder:
         return [np.array(e.offsets, np.int32).reshape(-1, 2) for e in coded]
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        even = [not UNEVEN.search(t) for t in texts]
-        cut = [re.sub(r"( )|\n", lambda m: "\0 " if m[1] else "\0\n\0", t).split("\0") if ok and t and "\0" not in t else None for t, ok in zip(texts, even, strict=True)]
-        new = list(set().union(*filter(None, cut)).difference(self.known))
-        for k in range(0, len(new), 1 << 14):
-            some = new[k : k + (1 << 14)]
-            self.known.update((w, s.tobytes()) for w, s in zip(some, self.whole(some), strict=True))
+        self.known.trim()
+        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and "\0" not in t and not UNEVEN.search(t) else None for t in texts]
+        new = {w for w in set().union(*filter(None, cut)) if w not in self.known}
+        tailed = [w for w in new if w[-1] in TAILS and w[-2:-1].isalpha()]
+        new.difference_update(tailed)
+        new.update(TAILS, (w[:-1] for w in tailed if w[:-1] not in self.known))
+        new = list(new)
+        for k in range(0, len(new), 1 << 13):
+            # As one text, in which each piece begins as it does where it stands.
+            some = [w if w[0] in " \n" else "\n" + w for w in new[k : k + (1 << 13)] if w.strip(" \n")]
+            spans = self.whole(["".join(some)])[0]
+            starts = np.cumsum([0, *map(len, some)])
+            begins = starts[:-1] + [w[0] == "\n" for w in some]
+            lo, hi = np.searchsorted(spans[:, 0], begins), np.searchsorted(spans[:, 0], starts[1:])
+            for w, start, i, j in zip(some, begins.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                self.known[w.removeprefix("\n")] = (spans[i:j] - np.int32(start)).tobytes()
+        self.known.update((w, s.tobytes()) for w, s in zip(("\n", " "), self.whole(["\n", " "]), strict=True))
+        for w in tailed:
+            mark = np.frombuffer(self.known[w[-1]], np.int32) + np.int32(len(w) - 1)
+            self.known[w] = self.known[w[:-1]] + mark.tobytes()
         get, out = self.known.__getitem__, []
         for text, pieces in zip(texts, cut, strict=True):
             if pieces is None:

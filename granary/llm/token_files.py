@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -28,13 +29,31 @@ from .scratch import Scratch, documents, shuffle_partitions
 
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a worker keeps at most.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
+#: Marks that a word may end in, taken by themselves after a letter.
+TAILS = frozenset(".,")
 _ENCODERS: dict = {}
 
 
+class Kept(dict):
+    """What a worker keeps of words, bounded: when full, the later half goes, as frequent words come early;
+    every eighth time all goes, lest a change of texts leave it stale."""
+
+    full = 0
+
+    def trim(self) -> None:
+        if len(self) > KEPT_WORDS:
+            self.full += 1
+            first = [] if self.full % 8 == 0 else list(islice(self.items(), KEPT_WORDS // 2))
+            self.clear()
+            self.update(first)
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose tokens never cross a space or line feed and do not depend on what
-    stands beyond one. Texts are cut there, and the ids of words are kept from one text to the next."""
+    stands beyond one, that lower-cases, and that takes a mark after a letter by itself. Texts are cut there,
+    and the ids of words are kept from one text to the next; new words are encoded together, as lines of
+    one text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,7 +61,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known = Kept()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -51,14 +70,23 @@ class WordEncoder:
         return _ENCODERS[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        for k in range(0, len(new), 1 << 14):
-            some = new[k : k + (1 << 14)]
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
+        """The ids of each text, as bytes."""
+        self.known.trim()
+        cut = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        new = {w for w in set().union(*cut) if w not in self.known}
+        tailed = [w for w in new if w[-1:] in TAILS and w[-2:-1].isalpha()]
+        new.difference_update(tailed)
+        new.update(x for w in tailed for x in (w[:-1], w[-1]) if x not in self.known)
+        new = list(new)
+        for k in range(0, len(new), 1 << 13):
+            some = new[k : k + (1 << 13)]
+            coded = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
+            cuts = np.searchsorted(np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0], starts) * self.dtype.itemsize
+            ids = np.array(coded.ids, self.dtype).tobytes()
+            self.known.update((w, ids[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         get = self.known.__getitem__
+        self.known.update((w, get(w[:-1]) + get(w[-1])) for w in tailed)
         return [b"".join(map(get, words)) for words in cut]
 
 
