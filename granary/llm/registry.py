@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, token_counts, token_files
+from . import chat_format, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_minhash_dedup": near_dedup.query,
     "op3_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_quality": quality.query,
     "op7_decontaminate": decontaminate.query,
     "op8_token_files": token_files.query,
