@@ -34,6 +34,8 @@ from .scratch import Scratch, documents, shuffle_partitions
 LENGTH, GRAM = 50, 16
 WINDOWS = LENGTH - GRAM + 1
 PIECE = LENGTH + WINDOWS - 1
+#: A piece as it is moved: its bytes, their number, and where in them its anchor begins.
+ROW = PIECE + 2
 #: Bytes of text that a task takes at once, and that a bucket of anchors or pieces gets of them on average.
 BLOCK, ANCHORS_OF, PIECES_OF = 8 << 20, 64 << 20, 12 << 20
 
@@ -187,11 +189,11 @@ def _cut(buckets: int):
             lo = np.maximum(begin + pos - (WINDOWS - 1), begin)
             size = np.minimum(begin + pos + LENGTH, end) - lo
             cells = np.arange(PIECE)
-            whole = np.empty((len(doc), PIECE + 1), np.uint8)
+            whole = np.empty((len(doc), ROW), np.uint8)
             for k in range(0, len(doc), 1 << 16):
                 part = slice(k, k + (1 << 16))
                 whole[part, :PIECE] = padded[np.minimum(lo[part, None] + cells, len(padded) - 1)] * (cells < size[part, None])
-            whole[:, PIECE] = size
+            whole[:, PIECE], whole[:, PIECE + 1] = size, begin + pos - lo
             eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))).view(B.U64).ravel()
             a = begin + pos
             bucket = (B.mix(eight[a] * B.U64(0x9E3779B97F4A7C15) + eight[a + 8]) % B.U64(buckets)).astype(np.int64)
@@ -200,7 +202,7 @@ def _cut(buckets: int):
             out = []
             for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
                 own = order[a:b]
-                pieces, which = np.unique(whole[own].view(f"V{PIECE + 1}").ravel(), return_inverse=True)
+                pieces, which = np.unique(whole[own].view(f"V{ROW}").ravel(), return_inverse=True)
                 first = _runs(doc[own])
                 heads = doc[own[first]]
                 counts = np.diff(np.append(first, len(own))).astype(np.uint32)
@@ -275,6 +277,27 @@ def collection_bwt(pieces: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) ->
     return bwt, piece, start, lcp
 
 
+def related(pieces: np.ndarray) -> np.ndarray:
+    """Which pieces may share a window with another. A window of a piece's anchor holds the anchor and the
+    bytes left of it, or right of it, to half of what a window holds besides; so two pieces that share a
+    window share the anchor with one of these halves."""
+    half = (LENGTH - GRAM + 1) // 2
+    size = pieces[:, PIECE].astype(np.int64)
+    anchor = pieces[:, PIECE + 1].astype(np.int64)
+    out = np.zeros(len(pieces), bool)
+    for lo in (anchor - half, anchor):
+        own = np.flatnonzero((lo >= 0) & (lo + GRAM + half <= size))
+        value = np.zeros(len(own), B.U64)
+        for k in range(GRAM + half):
+            value = (value ^ pieces[own, lo[own] + k]) * B.U64(0x9E3779B97F4A7C15)
+            value ^= value >> B.U64(29)
+        order = np.argsort(value, kind="stable")
+        starts = _runs(value[order])
+        many = np.diff(np.append(starts, len(order))) > 1
+        out[own[order]] |= np.repeat(many, np.diff(np.append(starts, len(order))))
+    return out
+
+
 def first_starts(pieces: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each piece and window start in it, the least of `docs` (one a piece) over all pieces that hold
     the window's bytes; the greatest integer where no window starts."""
@@ -299,7 +322,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in rows:
                 docs, counts = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)
                 piece = np.frombuffer(r["piece"], np.uint32)
-                names = [known.setdefault(x, len(known)) for x in (r["pieces"][k : k + PIECE + 1] for k in range(0, len(r["pieces"]), PIECE + 1))]
+                names = [known.setdefault(x, len(known)) for x in (r["pieces"][k : k + ROW] for k in range(0, len(r["pieces"]), ROW))]
                 least += [np.iinfo(np.int64).max] * (len(known) - len(least))
                 lowest = np.full(len(names), np.iinfo(np.int64).max)
                 np.minimum.at(lowest, piece, np.repeat(docs, counts))
@@ -308,10 +331,13 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = [r["docs"], r["tids"], r["counts"], r["pos"], np.array(names, np.uint32)[piece].tobytes()]
                 lengths.append([len(x) for x in parts])
                 spool.write(b"".join(parts))
-            whole = np.frombuffer(b"".join(known), np.uint8).reshape(-1, PIECE + 1)
+            whole = np.frombuffer(b"".join(known), np.uint8).reshape(-1, ROW)
             least = np.array(least, np.int64)
-            starts = first_starts(whole[:, :PIECE], whole[:, PIECE], least)
-            # The bits of a piece for a document that is not the first of any of its windows.
+            # Windows of a piece that shares none with another start in the piece's own documents only.
+            valid = np.arange(WINDOWS) + LENGTH <= whole[:, PIECE, None].astype(np.int64)
+            starts = np.where(valid, least[:, None], np.iinfo(np.int64).max)
+            some = np.flatnonzero(related(whole))
+            starts[some] = first_starts(whole[some, :PIECE], whole[some, PIECE], least[some])
             spool.seek(0)
             for sizes in lengths:
                 docs, tids, counts, pos, piece = (np.frombuffer(spool.read(n), t) for n, t in zip(sizes, (np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True))
