@@ -144,6 +144,38 @@ def _matched(seeds):
     return run
 
 
+def _cleaned(seeds, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, where = B.buffers(batch.column(at))
+            keep = np.ones(batch.num_rows, bool)
+            for i, j in B.blocks(where, BLOCK):
+                value, first = word_values(data[where[i] : where[j]], where[i : j + 1] - where[i])
+                keep[i + seeds.value.matches(value, first)[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _seed_blocks(benchmark: DataFrame):
+    """Broadcast seeds of the items, a block at a time."""
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // BLOCK_BYTES))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        yield sc.broadcast(Seeds(sorted((r.item_id, r.text) for r in own.collect())))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, in whose text no passage of the benchmark stands; nothing is
+    shuffled. Null and empty texts are clean."""
+    for seeds in _seed_blocks(benchmark):
+        docs = docs.mapInArrow(_cleaned(seeds, docs.columns.index("text")), docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, items) for every row of docs(doc_id, text) against
     benchmark(item_id, text).
@@ -152,18 +184,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty texts and items hold no passage; items without an id are left out. With a benchmark of more than
     one block, rows that repeat a doc_id are returned as one. Other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
-    found = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        seeds = sc.broadcast(Seeds(sorted((r.item_id, r.text) for r in own.collect())))
-        one = rows.mapInArrow(_matched(seeds), "doc_id long, items array<long>")
-        found = one if found is None else found.unionByName(one)
-    if parts > 1:
+    parts = [rows.mapInArrow(_matched(seeds), "doc_id long, items array<long>") for seeds in _seed_blocks(benchmark)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    if len(parts) > 1:
         found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
 

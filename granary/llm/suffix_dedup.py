@@ -228,7 +228,8 @@ def collection_bwt(pieces: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) ->
     symbols[:, 1:] = pieces + 1  # no byte of UTF-8 is 255
     sizes = sizes.astype(np.int64)
     bwt = symbols[np.arange(n), sizes].copy()
-    lcp, piece, start = np.zeros(n, np.uint8), np.arange(n, dtype=np.uint32), sizes.astype(np.uint8)
+    # A suffix by its piece and start in one number; what a bucket holds is far from 2**24 pieces.
+    lcp, suffix = np.zeros(n, np.uint8), (np.arange(n, dtype=np.uint32) << 8) | sizes.astype(np.uint32)
     at, live = np.arange(n), np.arange(n)  # positions of the last round's suffixes, ascending, and their pieces
     for length in range(1, int(sizes.max(initial=0)) + 1):
         grown = sizes[live] >= length
@@ -269,12 +270,12 @@ def collection_bwt(pieces: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) ->
             return out
 
         bwt = merged(bwt, symbols[live_new, from_size])
-        piece, start = merged(piece, live_new.astype(np.uint32)), merged(start, from_size.astype(np.uint8))
+        suffix = merged(suffix, ((live_new << 8) | from_size).astype(np.uint32))
         lcp = merged(lcp, own[sorter])
         follows = place + 1 < len(new)
         lcp[place[follows] + 1] = np.where(new[place[follows] + 1], lcp[place[follows] + 1], after[sorter][follows])
         at, live = place, live_new
-    return bwt, piece, start, lcp
+    return bwt, suffix >> 8, (suffix & 255).astype(np.uint8), lcp
 
 
 def related(pieces: np.ndarray) -> np.ndarray:
