@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from granary.llm.scratch import Scratch, documents
+from granary.llm.scratch import Scratch, bounded_batches, documents
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from all labelled rows of its input."""
+    bounded_batches(spark)
     return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -35,6 +36,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -17,11 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes and not by rows alone, as rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 class Scratch:
     """Tables written once and read back, so that a lost executor costs one task and not a lineage."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/granary-{uuid.uuid4().hex}"
         self._n = 0
 
@@ -50,4 +57,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

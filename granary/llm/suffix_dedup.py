@@ -37,7 +37,7 @@ PIECE = LENGTH + WINDOWS - 1
 #: A piece as it is moved: its bytes, their number, and where in them its anchor begins.
 ROW = PIECE + 2
 #: Bytes of text that a task takes at once, and that a bucket of anchors or pieces gets of them on average.
-BLOCK, ANCHORS_OF, PIECES_OF = 8 << 20, 64 << 20, 12 << 20
+BLOCK, ANCHORS_OF, PIECES_OF = 8 << 20, 24 << 20, 12 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -78,11 +78,23 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Some rows at a time with the bytes and offsets of the texts in column 1."""
+    """Rows of about BLOCK bytes at a time with the bytes and offsets of the texts in column 1."""
+
+    def block(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return rows, *B.buffers(rows.column(1))
+
+    held, size = [], 0
     for batch in batches:
-        data, at = B.buffers(batch.column(1))
+        _, at = B.buffers(batch.column(1))
         for i, j in B.blocks(at, BLOCK):
-            yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
+            if held and size + at[j] - at[i] > BLOCK:
+                yield block(held)
+                held, size = [], 0
+            held.append(batch.slice(i, j - i))
+            size += at[j] - at[i]
+    if held:
+        yield block(held)
 
 
 _ANCHOR_ROWS = "bucket long, known boolean, docs binary, counts binary, pos binary, hash binary"
@@ -129,41 +141,71 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
     """Runs of rows with one value in column 0, which the rows are sorted by."""
     from itertools import groupby
 
-    rows = (r for batch in batches for k in range(0, batch.num_rows, 16) for r in batch.slice(k, 16).to_pylist())
+    rows = (r for batch in batches for k in range(0, batch.num_rows, 4) for r in batch.slice(k, 4).to_pylist())
     return groupby(rows, key=lambda r: r["bucket"])
 
 
-def _positions(docs: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, pos), a row a document; docs are those of pos, in runs."""
-    first = _runs(docs)
-    for k in range(0, len(first), 8192):
-        some = first[k : k + 8192]
-        ends = np.append(first[k + 1 : k + 8192], first[k + 8192] if k + 8192 < len(first) else len(docs))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array([pos[a:b].tobytes() for a, b in zip(some, ends, strict=True)], pa.binary())], ["doc_id", "pos"])
+def _grouped(keys: list[np.ndarray], values: list[np.ndarray], groups: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Values of documents, keys[0], in few rows: one for each group of documents by hash."""
+    if not len(keys[0]):
+        return
+    group = (B.mix(keys[0].astype(B.U64)) % B.U64(groups)).astype(np.int64)
+    order = np.lexsort((keys[0], group))
+    starts = _runs(group[order])
+    out = [(int(group[order[a]]), *(x[order[a:b]].tobytes() for x in keys + values)) for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True)]
+    columns = [pa.array(x, pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(zip(*out, strict=True))]
+    yield pa.RecordBatch.from_arrays(columns, ["bucket", *names])
+
+
+def _gathered(types: list, names: list[str], keys: int):
+    """Rows of _grouped, sorted by bucket, to a row a document (and further keys) with its values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            parts = [[np.frombuffer(r[n], t) for n, t in zip(names, types, strict=True)] for r in rows]
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.lexsort(columns[:keys][::-1])
+            columns = [c[order] for c in columns]
+            change = np.zeros(len(order), bool)
+            change[:1] = True
+            for c in columns[:keys]:
+                change[1:] |= c[1:] != c[:-1]
+            first = np.flatnonzero(change)
+            ends = np.append(first[1:], len(order))
+            for k in range(0, len(first), 1024):
+                some = slice(k, k + 1024)
+                lists = [pa.array([c[a:b].tobytes() for a, b in zip(first[some], ends[some], strict=True)], pa.binary()) for c in columns[keys:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[first[some]]) for c in columns[:keys]), *lists], names)
+
+    return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(groups: int):
     """Positions of anchors whose hash is in two rows of blocks at least, or known to repeat."""
-    for _, rows in _by_bucket(batches):
-        docs, pos, h = [], [], []
-        for r in rows:
-            own = np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32))
-            if r["known"]:
-                yield from _positions(own, np.frombuffer(r["pos"], np.uint32))
-            else:
-                docs.append(own)
-                pos.append(np.frombuffer(r["pos"], np.uint32))
-                h.append(np.frombuffer(r["hash"], np.uint32))
-        if h:
-            # Within a block a hash is in one row only, so another block's is another row's.
-            block = np.repeat(np.arange(len(h)), [len(x) for x in h])
-            docs, pos, h = np.concatenate(docs), np.concatenate(pos), np.concatenate(h)
-            order = np.argsort(h, kind="stable")
-            starts = _runs(h[order])
-            many = np.maximum.reduceat(block[order], starts) > np.minimum.reduceat(block[order], starts)
-            keep = np.zeros(len(h), bool)
-            keep[order] = np.repeat(many, np.diff(np.append(starts, len(h))))
-            yield from _positions(docs[keep], pos[keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            docs, pos, h = [], [], []
+            for r in rows:
+                own = np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32))
+                if r["known"]:
+                    yield from _grouped([own], [np.frombuffer(r["pos"], np.uint32)], groups, ["doc_id", "pos"])
+                else:
+                    docs.append(own)
+                    pos.append(np.frombuffer(r["pos"], np.uint32))
+                    h.append(np.frombuffer(r["hash"], np.uint32))
+            if h:
+                # Within a block a hash is in one row only, so another block's is another row's.
+                block = np.repeat(np.arange(len(h)), [len(x) for x in h])
+                docs, pos, h = np.concatenate(docs), np.concatenate(pos), np.concatenate(h)
+                order = np.argsort(h, kind="stable")
+                starts = _runs(h[order])
+                many = np.maximum.reduceat(block[order], starts) > np.minimum.reduceat(block[order], starts)
+                keep = np.zeros(len(h), bool)
+                keep[order] = np.repeat(many, np.diff(np.append(starts, len(h))))
+                yield from _grouped([docs[keep]], [pos[keep]], groups, ["doc_id", "pos"])
+
+    return run
 
 
 _PIECE_ROWS = "bucket long, docs binary, tids binary, counts binary, pos binary, piece binary, pieces binary"
@@ -176,8 +218,8 @@ def _cut(buckets: int):
         for rows, data, at in _blocks(batches):
             ids, tids = (rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
             doc, pos = [], []
-            for k, lists in enumerate(rows.column(3).to_pylist()):
-                own = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists]))
+            for k, x in enumerate(rows.column(3).to_pylist()):
+                own = np.unique(np.frombuffer(x, np.uint32))
                 own = own[own.astype(np.int64) + GRAM <= at[k + 1] - at[k]]
                 doc.append(np.full(len(own), k))
                 pos.append(own)
@@ -312,54 +354,54 @@ def first_starts(pieces: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.
     return out
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answered(groups: int):
     """For each document of a bucket's pieces, the pieces of which some window starts in a smaller one: their
     places, and a bit for each window. Occurrences wait in a sequential file of the task's own."""
-    for _, rows in _by_bucket(batches):
-        known: dict[bytes, int] = {}
-        least: list[int] = []
-        with tempfile.TemporaryFile() as spool:
-            lengths = []
-            for r in rows:
-                docs, counts = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)
-                piece = np.frombuffer(r["piece"], np.uint32)
-                names = [known.setdefault(x, len(known)) for x in (r["pieces"][k : k + ROW] for k in range(0, len(r["pieces"]), ROW))]
-                least += [np.iinfo(np.int64).max] * (len(known) - len(least))
-                lowest = np.full(len(names), np.iinfo(np.int64).max)
-                np.minimum.at(lowest, piece, np.repeat(docs, counts))
-                for k, d in zip(names, lowest.tolist(), strict=True):
-                    least[k] = min(least[k], d)
-                parts = [r["docs"], r["tids"], r["counts"], r["pos"], np.array(names, np.uint32)[piece].tobytes()]
-                lengths.append([len(x) for x in parts])
-                spool.write(b"".join(parts))
-            whole = np.frombuffer(b"".join(known), np.uint8).reshape(-1, ROW)
-            least = np.array(least, np.int64)
-            # Windows of a piece that shares none with another start in the piece's own documents only.
-            valid = np.arange(WINDOWS) + LENGTH <= whole[:, PIECE, None].astype(np.int64)
-            starts = np.where(valid, least[:, None], np.iinfo(np.int64).max)
-            some = np.flatnonzero(related(whole))
-            starts[some] = first_starts(whole[some, :PIECE], whole[some, PIECE], least[some])
-            spool.seek(0)
-            for sizes in lengths:
-                docs, tids, counts, pos, piece = (np.frombuffer(spool.read(n), t) for n, t in zip(sizes, (np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True))
-                own = np.repeat(np.arange(len(docs)), counts)
-                bits = np.zeros(len(piece), B.U64)
-                for w in range(WINDOWS):
-                    bits |= (starts[piece, w] < docs[own]).astype(B.U64) << B.U64(w)
-                hit = np.flatnonzero(bits)
-                if len(hit):
-                    first = _runs(own[hit])
-                    ends = np.append(first[1:], len(hit))
-                    heads = own[hit[first]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(docs[heads]),
-                            pa.array(tids[heads]),
-                            pa.array([pos[hit[a:b]].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                            pa.array([bits[hit[a:b]].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                        ],
-                        ["doc_id", "tid", "pos", "bits"],
-                    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            known: dict[bytes, int] = {}
+            least: list[int] = []
+            with tempfile.TemporaryFile() as spool:
+                lengths = []
+                for r in rows:
+                    docs, counts = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)
+                    piece = np.frombuffer(r["piece"], np.uint32)
+                    names = [known.setdefault(x, len(known)) for x in (r["pieces"][k : k + ROW] for k in range(0, len(r["pieces"]), ROW))]
+                    least += [np.iinfo(np.int64).max] * (len(known) - len(least))
+                    lowest = np.full(len(names), np.iinfo(np.int64).max)
+                    np.minimum.at(lowest, piece, np.repeat(docs, counts))
+                    for k, d in zip(names, lowest.tolist(), strict=True):
+                        least[k] = min(least[k], d)
+                    parts = [r["docs"], r["tids"], r["counts"], r["pos"], np.array(names, np.uint32)[piece].tobytes()]
+                    lengths.append([len(x) for x in parts])
+                    spool.write(b"".join(parts))
+                whole = np.frombuffer(b"".join(known), np.uint8).reshape(-1, ROW)
+                least = np.array(least, np.int64)
+                # Windows of a piece that shares none with another start in the piece's own documents only.
+                valid = np.arange(WINDOWS) + LENGTH <= whole[:, PIECE, None].astype(np.int64)
+                starts = np.where(valid, least[:, None], np.iinfo(np.int64).max)
+                some = np.flatnonzero(related(whole))
+                starts[some] = first_starts(whole[some, :PIECE], whole[some, PIECE], least[some])
+                spool.seek(0)
+                answers = []
+                for sizes in lengths:
+                    docs, tids, counts, pos, piece = (np.frombuffer(spool.read(n), t) for n, t in zip(sizes, (np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True))
+                    own = np.repeat(np.arange(len(docs)), counts)
+                    bits = np.zeros(len(piece), B.U64)
+                    for w in range(WINDOWS):
+                        bits |= (starts[piece, w] < docs[own]).astype(B.U64) << B.U64(w)
+                    hit = np.flatnonzero(bits)
+                    answers.append([docs[own[hit]], tids[own[hit]], pos[hit], bits[hit]])
+                    if sum(len(x[0]) for x in answers) > 1 << 19:
+                        columns = [np.concatenate(x) for x in zip(*answers, strict=True)]
+                        answers = []
+                        yield from _grouped(columns[:2], columns[2:], groups, ["doc_id", "tid", "pos", "bits"])
+                if answers:
+                    columns = [np.concatenate(x) for x in zip(*answers, strict=True)]
+                    yield from _grouped(columns[:2], columns[2:], groups, ["doc_id", "tid", "pos", "bits"])
+
+    return run
 
 
 def covered(size: int, starts: np.ndarray) -> np.ndarray:
@@ -380,8 +422,7 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = data[at[k] : at[k + 1]]
             gone = np.full(len(text), bool(copy) and len(text) >= LENGTH)
             if hits and not copy:
-                pos = np.concatenate([np.frombuffer(h["pos"], np.uint32) for h in hits]).astype(np.int64)
-                bits = np.concatenate([np.frombuffer(h["bits"], B.U64) for h in hits])
+                pos, bits = np.frombuffer(hits["pos"], np.uint32).astype(np.int64), np.frombuffer(hits["bits"], B.U64)
                 starts = [pos[(bits >> B.U64(w)) & B.U64(1) == 1] + w for w in range(WINDOWS)]
                 gone = covered(len(text), np.unique(np.concatenate(starts)))
             spans = int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1]))
@@ -414,11 +455,12 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
         return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     found = bucketed(long.select("doc_id", "text").mapInArrow(_anchored(max(4, size // ANCHORS_OF)), _ANCHOR_ROWS))
-    found = found.mapInArrow(_repeated, "doc_id long, pos binary").groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    found = scratch.table(found, "anchors")
+    found = bucketed(found.mapInArrow(_repeated(parts), "bucket long, doc_id binary, pos binary"))
+    found = scratch.table(found.mapInArrow(_gathered([np.int64, np.uint32], ["doc_id", "pos"], 1), "doc_id long, pos binary"), "anchors")
     held = long.join(found, "doc_id").join(copies, ["doc_id", "tid"], "left_anti").select("doc_id", "text", "tid", "pos")
-    hits = bucketed(held.mapInArrow(_cut(max(4, size // PIECES_OF)), _PIECE_ROWS)).mapInArrow(_answered, "doc_id long, tid long, pos binary, bits binary")
-    hits = scratch.table(hits.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("pos", "bits")).alias("hits")), "hits")
+    hits = bucketed(held.mapInArrow(_cut(max(4, size // PIECES_OF)), _PIECE_ROWS)).mapInArrow(_answered(parts), "bucket long, doc_id binary, tid binary, pos binary, bits binary")
+    hits = bucketed(hits).mapInArrow(_gathered([np.int64, np.int64, np.uint32, B.U64], ["doc_id", "tid", "pos", "bits"], 2), "doc_id long, tid long, pos binary, bits binary")
+    hits = scratch.table(hits.select("doc_id", "tid", F.struct("pos", "bits").alias("hits")), "hits")
     scratch.drop(found)
     out = docs.join(hits, ["doc_id", "tid"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tid"], "left")
     return out.select("doc_id", "text", "copy", "hits").mapInArrow(_stripped, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -82,6 +82,8 @@ class SpanEncoder:
             starts = np.cumsum([0, *map(len, pieces)])[:-1]
             counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
             out.append(np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2) + np.repeat(starts, counts)[:, None])
+        for w in tailed:
+            del self.known[w]
         return out
 
 

@@ -29,7 +29,7 @@ from .scratch import Scratch, documents, shuffle_partitions
 
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a worker keeps at most.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 #: Marks that a word may end in, taken by themselves after a letter.
 TAILS = frozenset(".,")
 _ENCODERS: dict = {}
@@ -87,10 +87,13 @@ class WordEncoder:
             self.known.update((w, ids[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
         get = self.known.__getitem__
         self.known.update((w, get(w[:-1]) + get(w[-1])) for w in tailed)
-        return [b"".join(map(get, words)) for words in cut]
+        out = [b"".join(map(get, words)) for words in cut]
+        for w in tailed:  # soon made again, so not worth a place
+            del self.known[w]
+        return out
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of some rows at a time, of about `most` bytes."""
     rows = max(1, int(batch.num_rows * most / max(most, batch.nbytes)))
     for k in range(0, batch.num_rows, rows):
