@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .scratch import documents
-from .token_files import TAILS, Kept, _slices, vocabulary
+from .token_files import TAILS, Keeper, _slices, vocabulary
 
 RULES = ("first", "last", "most")
 #: What keeps a text from being encoded by pieces: white space other than single blanks and line feeds
@@ -26,7 +26,7 @@ UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _ENCODERS: dict = {}
 
 
-class SpanEncoder:
+class SpanEncoder(Keeper):
     """Character spans of the tokens of whole texts, by a byte-level tokenizer.
 
     Its pattern starts a new match at a single blank between other characters and takes a single line feed
@@ -40,7 +40,7 @@ class SpanEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = Kept()
+        super().__init__()
 
     @classmethod
     def of(cls, path: str) -> SpanEncoder:
@@ -53,9 +53,9 @@ class SpanEncoder:
         return [np.array(e.offsets, np.int32).reshape(-1, 2) for e in coded]
 
     def spans(self, texts: list[str]) -> list[np.ndarray]:
-        self.known.trim()
+        self.trim()
         cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and "\0" not in t and not UNEVEN.search(t) else None for t in texts]
-        new = {w for w in set().union(*filter(None, cut)) if w not in self.known}
+        new = set().union(*filter(None, cut)).difference(self.known)
         tailed = [w for w in new if w[-1] in TAILS and w[-2:-1].isalpha()]
         new.difference_update(tailed)
         new.update(TAILS, (w[:-1] for w in tailed if w[:-1] not in self.known))

@@ -35,21 +35,22 @@ TAILS = frozenset(".,")
 _ENCODERS: dict = {}
 
 
-class Kept(dict):
+class Keeper:
     """What a worker keeps of words, bounded: when full, the later half goes, as frequent words come early;
-    every eighth time all goes, lest a change of texts leave it stale."""
+    every eighth time all goes, lest a change of texts leave it stale. `known` is a plain dict, which the
+    set operations walk quickly."""
 
-    full = 0
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.full = 0
 
     def trim(self) -> None:
-        if len(self) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS:
             self.full += 1
-            first = [] if self.full % 8 == 0 else list(islice(self.items(), KEPT_WORDS // 2))
-            self.clear()
-            self.update(first)
+            self.known = {} if self.full % 8 == 0 else dict(islice(self.known.items(), KEPT_WORDS // 2))
 
 
-class WordEncoder:
+class WordEncoder(Keeper):
     """Ids of texts by a tokenizer whose tokens never cross a space or line feed and do not depend on what
     stands beyond one, that lower-cases, and that takes a mark after a letter by itself. Texts are cut there,
     and the ids of words are kept from one text to the next; new words are encoded together, as lines of
@@ -61,7 +62,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Kept()
+        super().__init__()
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -71,9 +72,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        self.known.trim()
+        self.trim()
         cut = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        new = {w for w in set().union(*cut) if w not in self.known}
+        new = set().union(*cut).difference(self.known)
         tailed = [w for w in new if w[-1:] in TAILS and w[-2:-1].isalpha()]
         new.difference_update(tailed)
         new.update(x for w in tailed for x in (w[:-1], w[-1]) if x not in self.known)
