@@ -326,12 +326,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     scratch.drop(shared, sets, sigs, rest, blocks, near, near2)
     found = classes.select("setkey", "rid").join(comps, classes.rid == comps.id, "left").select("setkey", F.coalesce("comp", "rid").alias("comp"))
     out = signed.select("doc_id", "n", "setkey").join(found, "setkey", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("comp", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept"),
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

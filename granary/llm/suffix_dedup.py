@@ -123,6 +123,8 @@ def _anchored(buckets: int):
             out = []
             for flag, some in ((True, known), (False, ~known | witness)):
                 rows_of = np.flatnonzero(some)
+                if not len(rows_of):
+                    continue
                 rows_of = rows_of[np.argsort(bucket[rows_of], kind="stable")]
                 cuts = _runs(bucket[rows_of])
                 for a, b in zip(cuts, np.append(cuts[1:], len(rows_of)), strict=True):
