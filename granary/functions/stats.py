@@ -15,7 +15,7 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     den = 1 + F.try_divide(F.lit(z * z), n)
     centre = (p + F.try_divide(F.lit(z * z), 2 * n)) / den
     margin = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z), 4 * n * n)) / den
-    return F.coalesce(F.greatest(F.lit(0.0), centre - margin), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + margin), F.lit(0.0))
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - margin)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), centre + margin)).otherwise(0.0)
 
 
 def ratio(top: Column, bottom: Column) -> tuple[Column, Column]:

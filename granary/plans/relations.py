@@ -106,7 +106,7 @@ def q_cluster_words(t: Tables) -> DataFrame:
 
 @query("SELECT sector, state, sum(n)::BIGINT AS customers FROM (SELECT CASE WHEN n_regionkey <= 1 THEN 'A' ELSE 'B' END AS sector, n_name AS state, 1 AS n FROM customer JOIN nation ON n_nationkey = c_nationkey) GROUP BY 1, 2")
 def q_doc_metadata(t: Tables) -> DataFrame:
-    rows = t.customer.join(F.broadcast(t.nation.limit(1000)), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.groupBy(F.when(F.col("n_regionkey") <= 1, "A").otherwise("B").alias("sector"), F.col("n_name").alias("state")).agg(F.count(F.lit(1)).alias("customers"))
 
 

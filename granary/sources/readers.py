@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def texts(spark: SparkSession, root: str, names: str) -> DataFrame:
+    """(path, value) of the text files below a folder, to the last byte; what is not UTF-8 is replaced."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
+    return files.select("path", F.decode("content", "UTF-8").alias("value"))
+
+
 def page_tree(spark: SparkSession, root: str) -> DataFrame:
     """(document_id, page_number, text) of root/document_*/page_*.txt, text as it stands."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "page_*.txt").text(root)
-    path = F.col("_metadata.file_path")
+    files, path = texts(spark, root, "page_*.txt"), F.col("path")
     rows = files.select(F.regexp_extract(path, r"([^/]+)/page_\d+\.txt$", 1).alias("document_id"), F.regexp_extract(path, r"page_(\d+)\.txt$", 1).try_cast("int").alias("page_number"), F.col("value").alias("text"))
     return rows.where("document_id <> '' and page_number is not null")
 
 
 def segment_tree(spark: SparkSession, root: str) -> DataFrame:
     """(document_id, segment_number, text) of segment_*.txt beside or one folder below a document."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "segment_*.txt").text(root)
-    path = F.col("_metadata.file_path")
+    files, path = texts(spark, root, "segment_*.txt"), F.col("path")
     rows = files.select(F.regexp_extract(path, r"([^/]+)/(?:segments/)?segment_\d+\.txt$", 1).alias("document_id"), F.regexp_extract(path, r"segment_(\d+)\.txt$", 1).try_cast("int").alias("segment_number"), F.col("value").alias("text"))
     return rows.where("document_id <> ''")
 
