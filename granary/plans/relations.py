@@ -88,11 +88,11 @@ def q_page_doc_freq(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("page_rows"), F.count_distinct("user_id").alias("doc_count"), pages.alias("pages"))
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n AS a_n, b.n AS b_n, row_number() OVER (ORDER BY coalesce(a.n, 0) DESC, coalesce(a.doc_id, b.doc_id))::INT AS place FROM (SELECT doc_id, n_chars AS n FROM documents) a FULL JOIN (SELECT user_id::BIGINT AS doc_id, count(*) AS n FROM events GROUP BY 1) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.n, -1) AS a_n, coalesce(b.n, -1) AS b_n, row_number() OVER (ORDER BY coalesce(a.n, 0) DESC, coalesce(a.doc_id, b.doc_id))::INT AS place FROM (SELECT doc_id, n_chars AS n FROM documents) a FULL JOIN (SELECT user_id::BIGINT AS doc_id, count(*) AS n FROM events GROUP BY 1) b ON a.doc_id = b.doc_id")
 def q_doc_union(t: Tables) -> DataFrame:
     a = t.documents.select("doc_id", F.col("n_chars").alias("a_n"))
     b = t.events.groupBy(F.col("user_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("b_n"))
-    return a.join(b, "doc_id", "full_outer").withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("a_n", F.lit(0)).desc(), "doc_id")))
+    return a.join(b, "doc_id", "full_outer").withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("a_n", F.lit(0)).desc(), "doc_id"))).na.fill(-1, ["a_n", "b_n"])
 
 
 @query("""

@@ -68,9 +68,9 @@ def q_joint_distribution_wide(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("SELECT event_type, hour(ts)::INT AS hour, count(*) AS n, grouping_id(event_type, hour(ts))::BIGINT AS level FROM events GROUP BY CUBE (event_type, hour(ts))")
+@query("SELECT event_type, coalesce(hour(ts)::INT, -1) AS hour, count(*) AS n, grouping_id(event_type, hour(ts))::BIGINT AS level FROM events GROUP BY CUBE (event_type, hour(ts))")
 def q_cross_tab_cube(t: Tables) -> DataFrame:
-    return t.events.withColumn("hour", F.hour("ts")).cube("event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    return t.events.withColumn("hour", F.hour("ts")).cube("event_type", "hour").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level")).na.fill(-1, ["hour"])
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CASE WHEN l_quantity >= 25 THEN 1 ELSE 0 END)::BIGINT AS large FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -203,10 +203,10 @@ def q_topk_values(t: Tables) -> DataFrame:
     return top.join(sizes, "lang")
 
 
-@query("SELECT event_type, user_id, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS hi, grouping_id(event_type, user_id)::BIGINT AS level FROM events GROUP BY GROUPING SETS ((event_type), (event_type, user_id))")
+@query("SELECT event_type, coalesce(user_id, -1) AS user_id, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS hi, grouping_id(event_type, user_id)::BIGINT AS level FROM events GROUP BY GROUPING SETS ((event_type), (event_type, user_id))")
 def q_distribution_grouping_sets(t: Tables) -> DataFrame:
     out = t.events.groupingSets([("event_type",), ("event_type", "user_id")], "event_type", "user_id")
-    return out.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.max("value")).alias("hi"), F.grouping_id("event_type", "user_id").alias("level"))
+    return out.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.max("value")).alias("hi"), F.grouping_id("event_type", "user_id").alias("level")).na.fill(-1, ["user_id"])
 
 
 _PAIRS = "SELECT c_nationkey, count(*)::DOUBLE AS x, avg(o_totalprice) AS y, c_custkey FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 4"

@@ -39,10 +39,10 @@ def q_segments_from_boundaries(t: Tables) -> DataFrame:
     return spans.segments(bounded.select("conv_id", "start", "size"), "conv_id", "start", "size").select("conv_id", "start", "end", "segment_number")
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations")
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS heading FROM conversations")
 def q_carry_forward(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t.conversations.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("heading"))
+    return t.conversations.select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w), F.lit(-1)).alias("heading"))
 
 
 @query(f"""
