@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ NO_ID = np.iinfo(np.int64).min
 KEPT_WORDS = 1_000_000
 #: Marks that a word may end in, taken by themselves after a letter.
 TAILS = frozenset(".,")
+#: A word that the tokenizer gives one id, put between words that are encoded together.
+MARK = "~"
+#: Letters whose lower case is left to the tokenizer: all but those up to Latin Extended-A, less dotted I.
+BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _ENCODERS: dict = {}
 
 
@@ -53,7 +58,7 @@ class Keeper:
 class WordEncoder(Keeper):
     """Ids of texts by a tokenizer whose tokens never cross a space or line feed and do not depend on what
     stands beyond one, that lower-cases, and that takes a mark after a letter by itself. Texts are cut there,
-    and the ids of words are kept from one text to the next; new words are encoded together, as lines of
+    and the ids of words are kept from one text to the next; new words are encoded together in
     one text."""
 
     def __init__(self, path: str):
@@ -63,6 +68,8 @@ class WordEncoder(Keeper):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         super().__init__()
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -73,19 +80,22 @@ class WordEncoder(Keeper):
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         self.trim()
-        cut = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        cut = [(t if BEYOND.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
         new = set().union(*cut).difference(self.known)
         tailed = [w for w in new if w[-1:] in TAILS and w[-2:-1].isalpha()]
         new.difference_update(tailed)
         new.update(x for w in tailed for x in (w[:-1], w[-1]) if x not in self.known)
-        new = list(new)
-        for k in range(0, len(new), 1 << 13):
-            some = new[k : k + (1 << 13)]
-            coded = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
-            cuts = np.searchsorted(np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0], starts) * self.dtype.itemsize
-            ids = np.array(coded.ids, self.dtype).tobytes()
-            self.known.update((w, ids[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        marked = [w for w in new if MARK in w] if self.mark else list(new)
+        plain = list(new.difference(marked))
+        for k in range(0, len(plain), 1 << 14):
+            some = plain[k : k + (1 << 14)]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * self.dtype.itemsize
+            starts = np.append(0, ends[:-1] + self.dtype.itemsize)
+            raw = ids.tobytes()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        for w, coded in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(coded.ids, self.dtype).tobytes()
         get = self.known.__getitem__
         self.known.update((w, get(w[:-1]) + get(w[-1])) for w in tailed)
         out = [b"".join(map(get, words)) for words in cut]

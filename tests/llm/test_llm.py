@@ -201,7 +201,7 @@ def test_token_file_edges(spark, tmp_path):
     assert token_files.read_tokens(spark, token_files.write_tokens(table(spark, ROWS).limit(0), f"{root}-none", token_files.vocabulary("word_bpe_49k.json"))).count() == 0
 
 
-TEXTS = ["a\x1cb <|endoftext|>x  y\tz é ", "\n\n a  b\n\n", "ΑΣ ΟΔΟΣ 'S don't", "é ́x", "a\0b c", "  x", "Plain text. Of words, two\nlines", "", "it's, x.. y"]
+TEXTS = ["a\x1cb <|endoftext|>x  y\tz é ", "\n\n a  b\n\n", "ΑΣ ΟΔΟΣ 'S don't", "é ́x", "a\0b c", "  x", "Plain text. Of words, two\nlines", "", "it's, x.. y", "a~b ~ c~ ~~ \u0130I \u00c9t\u00e9. \u212aelvin \u03a3 E\u0301"]
 
 
 def test_encoders():
