@@ -30,7 +30,7 @@ from .scratch import Scratch, documents, shuffle_partitions
 
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a worker keeps at most.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_500_000
 #: Marks that a word may end in, taken by themselves after a letter.
 TAILS = frozenset(".,")
 #: A word that the tokenizer gives one id, put between words that are encoded together.
@@ -89,19 +89,17 @@ class WordEncoder(Keeper):
         plain = list(new.difference(marked))
         for k in range(0, len(plain), 1 << 14):
             some = plain[k : k + (1 << 14)]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, self.dtype)
+            (coded,) = self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)
+            ids = np.array(coded.ids, self.dtype)
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * self.dtype.itemsize
             starts = np.append(0, ends[:-1] + self.dtype.itemsize)
             raw = ids.tobytes()
             self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
-        for w, coded in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True):
+        for w, coded in zip(marked, self.tokenizer.encode_batch_fast(marked, add_special_tokens=False), strict=True):
             self.known[w] = np.array(coded.ids, self.dtype).tobytes()
         get = self.known.__getitem__
         self.known.update((w, get(w[:-1]) + get(w[-1])) for w in tailed)
-        out = [b"".join(map(get, words)) for words in cut]
-        for w in tailed:  # soon made again, so not worth a place
-            del self.known[w]
-        return out
+        return [b"".join(map(get, words)) for words in cut]
 
 
 def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
