@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ class Scratch:
         out._granary_path = path
         return out
 
+    def release(self) -> None:
+        """Let go of the shuffle files of steps whose results are written; Spark deletes them once the plans
+        that made them are collected, which a driver with memory to spare may put off for long."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

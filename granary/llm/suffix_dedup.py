@@ -459,11 +459,15 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     found = bucketed(long.select("doc_id", "text").mapInArrow(_anchored(max(4, size // ANCHORS_OF)), _ANCHOR_ROWS))
     found = bucketed(found.mapInArrow(_repeated(parts), "bucket long, doc_id binary, pos binary"))
     found = scratch.table(found.mapInArrow(_gathered([np.int64, np.uint32], ["doc_id", "pos"], 1), "doc_id long, pos binary"), "anchors")
+    scratch.drop(marks)
+    scratch.release()
     held = long.join(found, "doc_id").join(copies, ["doc_id", "tid"], "left_anti").select("doc_id", "text", "tid", "pos")
     hits = bucketed(held.mapInArrow(_cut(max(4, size // PIECES_OF)), _PIECE_ROWS)).mapInArrow(_answered(parts), "bucket long, doc_id binary, tid binary, pos binary, bits binary")
     hits = bucketed(hits).mapInArrow(_gathered([np.int64, np.int64, np.uint32, B.U64], ["doc_id", "tid", "pos", "bits"], 2), "doc_id long, tid long, pos binary, bits binary")
     hits = scratch.table(hits.select("doc_id", "tid", F.struct("pos", "bits").alias("hits")), "hits")
+    del held
     scratch.drop(found)
+    scratch.release()
     out = docs.join(hits, ["doc_id", "tid"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tid"], "left")
     return out.select("doc_id", "text", "copy", "hits").mapInArrow(_stripped, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
