@@ -251,7 +251,7 @@ def _cut(buckets: int):
                 heads = doc[own[first]]
                 counts = np.diff(np.append(first, len(own))).astype(np.uint32)
                 start = (lo - begin)[own].astype(np.uint32)
-                out.append((int(bucket[own[0]]), ids[heads].tobytes(), tids[heads].tobytes(), counts.tobytes(), start.tobytes(), which.astype(np.uint32).tobytes(), pieces.tobytes()))
+                out.append((int(bucket[own[0]]), ids[heads].tobytes(), tids[heads].tobytes(), counts.tobytes(), start.tobytes(), which.astype(np.uint32).tobytes(), pa.compress(pieces.tobytes(), "zstd", asbytes=True)))
             types = (pa.int64(), *[pa.binary()] * 6)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in _PIECE_ROWS.split(", ")])
 
@@ -369,7 +369,8 @@ def _answered(groups: int):
                 for r in rows:
                     docs, counts = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)
                     piece = np.frombuffer(r["piece"], np.uint32)
-                    names = [known.setdefault(x, len(known)) for x in (r["pieces"][k : k + ROW] for k in range(0, len(r["pieces"]), ROW))]
+                    raw = pa.decompress(r["pieces"], (int(piece.max()) + 1) * ROW, "zstd", asbytes=True)
+                    names = [known.setdefault(raw[k : k + ROW], len(known)) for k in range(0, len(raw), ROW)]
                     least += [np.iinfo(np.int64).max] * (len(known) - len(least))
                     lowest = np.full(len(names), np.iinfo(np.int64).max)
                     np.minimum.at(lowest, piece, np.repeat(docs, counts))
