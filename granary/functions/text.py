@@ -101,3 +101,46 @@ def sentences(x: Column) -> Column:
     marked = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"[^.!?\n]+[.!?]+(?:\s+|$)|[^.!?\n]+(?:\n|$)"), F.lit(0)), strip), lambda s: s != "")
     lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda s: s != "")
     return F.when(F.size(marked) > 1, marked).when(F.size(lines) > 1, lines).otherwise(marked)
+
+
+def split_sentences(x: Column) -> Column:
+    """Sentences that end in a mark before white space, or at a blank line; not stripped ones that are blank."""
+    parts = F.split(x, r"(?<=[.!?])\s+|\n\s*\n")
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
+
+
+def canonical_label(x: Column, labels: list[str], default: str = "OTHER") -> Column:
+    """A label as it is spelt in the list: the same but for case, then but for other signs, then the first of
+    the list that lies within the text."""
+    low, key = F.lower(strip(x)), norm_key(x)
+    tests = [lambda c: low == c.lower(), lambda c: key == norm_key(F.lit(c)), lambda c: F.contains(low, F.lit(c.lower()))]
+    return F.coalesce(*(F.when(test(c), F.lit(c)) for test in tests for c in labels), F.lit(default))
+
+
+def display_label(x: Column, most: int = 30) -> Column:
+    return F.left(F.regexp_replace(x, r"\s+Clause\b", ""), F.lit(most))
+
+
+def around(text: Column, start: Column, end: Column, window: int) -> Column:
+    """The text from `window` characters before a span to as many after it, within the text."""
+    first = F.greatest(F.lit(0), start - window)
+    return F.substring(text, first + 1, F.least(F.length(text), end + window) - first)
+
+
+def prefix_share(x: Column, share: float = 0.1) -> Column:
+    return F.substring(x, F.lit(1), F.floor(F.length(x) * share).cast("int"))
+
+
+def front_matter(x: Column) -> Column:
+    """A page's answer as (meta, body): JSON with natural_text, or `---` front matter of `key: value` lines
+    before the text, or the plain text with no meta."""
+    doc, parts = F.try_parse_json(x), F.split(x, "---", 3)
+    pairs = F.filter(F.transform(F.split(F.get(parts, F.lit(1)), "\n"), lambda s: F.split(s, ":", 2)), lambda p: F.size(p) == 2)
+    meta = F.map_from_entries(F.transform(pairs, lambda p: F.struct(strip(p[0]), strip(p[1]))))
+    body = F.try_variant_get(doc, "$.natural_text", "string")
+    none = F.create_map().cast("map<string,string>")
+    return (
+        F.when(body.isNotNull(), F.struct(F.coalesce(F.map_filter(F.try_variant_get(doc, "$", "map<string,string>"), lambda k, _: k != "natural_text"), none).alias("meta"), body.alias("body")))
+        .when(F.size(parts) == 3, F.struct(meta.alias("meta"), strip(F.get(parts, F.lit(2))).alias("body")))
+        .otherwise(F.struct(none.alias("meta"), strip(x).alias("body")))
+    )

@@ -22,7 +22,7 @@ def sentence_type(f: dict[str, Column]) -> Column:
 
 def agents(text: Column, lexicon: dict[str, list[str]]) -> Column:
     """The agents whose words occur, in the order of the lexicon."""
-    found = [F.when(text.rlike(rf"(?i)\b(?:{'|'.join(words)})\b"), F.lit(name)) for name, words in lexicon.items()]
+    found = [F.when(text.rlike(rf"(?iU)\b(?:{'|'.join(words)})\b"), F.lit(name)) for name, words in lexicon.items()]
     return F.array_compact(F.array(*found))
 
 

@@ -11,8 +11,6 @@ from granary.operators import authority, chunks, neighbours, spans
 from .registry import Tables, query
 from .scores import r6
 
-ASCII = "octet_length(text) = length(text)"
-_ASCII = "strlen(text) = length(text)"
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS full_text FROM conversations GROUP BY 1")
@@ -120,11 +118,11 @@ def q_sentence_split(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE {_ASCII})
+WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
 SELECT a.doc_id, len(list_intersect(a.w, b.w))::INT AS shared, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE, 6) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1
 """)
 def q_token_jaccard(t: Tables) -> DataFrame:
-    rows = t.documents.where(ASCII).select("doc_id", tx.token_set(F.col("text")).alias("w"))
+    rows = t.documents.select("doc_id", tx.token_set(F.col("text")).alias("w"))
     after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return rows.join(after, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).alias("shared"), r6(tx.jaccard(F.col("w"), F.col("v"))).alias("jaccard"))
 
@@ -165,18 +163,18 @@ def q_upper_median_pairs(t: Tables) -> DataFrame:
 
 
 LEXICON = {"worker": ["the", "and"], "firm": ["in", "for"], "union": ["that"], "manager": ["with", "was"]}
-_AGENTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b(?:{'|'.join(w)})\\b') THEN '{a}' END" for a, w in LEXICON.items()) + "], lambda x: x IS NOT NULL)"
+_AGENTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(?:^|[^\\pL\\pN_])(?:{'|'.join(w)})(?:$|[^\\pL\\pN_])') THEN '{a}' END" for a, w in LEXICON.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"SELECT doc_id, array_to_string({_AGENTS}, ',') AS agents FROM documents WHERE {_ASCII}")
+@query(f"SELECT doc_id, array_to_string({_AGENTS}, ',') AS agents FROM documents")
 def q_agent_match(t: Tables) -> DataFrame:
-    return t.documents.where(ASCII).select("doc_id", F.array_join(authority.agents(F.col("text"), LEXICON), ",").alias("agents"))
+    return t.documents.select("doc_id", F.array_join(authority.agents(F.col("text"), LEXICON), ",").alias("agents"))
 
 
-@query(f"WITH a AS (SELECT doc_id, CASE WHEN len({_AGENTS}) > 0 THEN {_AGENTS} ELSE ['other'] END AS l FROM documents WHERE {_ASCII}) SELECT doc_id, unnest(l) AS agent, (generate_subscripts(l, 1) - 1)::INT AS ordinal FROM a")
+@query(f"WITH a AS (SELECT doc_id, CASE WHEN len({_AGENTS}) > 0 THEN {_AGENTS} ELSE ['other'] END AS l FROM documents) SELECT doc_id, unnest(l) AS agent, (generate_subscripts(l, 1) - 1)::INT AS ordinal FROM a")
 def q_statement_explode(t: Tables) -> DataFrame:
     found = authority.statements(authority.agents(F.col("text"), LEXICON))
-    return t.documents.where(ASCII).select("doc_id", F.posexplode(found).alias("ordinal", "agent"))
+    return t.documents.select("doc_id", F.posexplode(found).alias("ordinal", "agent"))
 
 
 _BITS = {"neg": 1, "strict": 2, "permissive": 3, "modal": 4, "active": 5, "passive": 6, "obliges": 7, "constrains": 8, "permits": 9, "entitles": 10}

@@ -60,3 +60,18 @@ def taxonomy(text: str) -> list[dict[str, str]]:
             key = "tldr" if colon and label.strip().lower() in ("tldr", "tl;dr") else "description"
             out[-1][key] = f"{out[-1][key]} {rest if key == 'tldr' else line}".strip()
     return [*out, {"name": "OTHER", "tldr": "", "description": ""}]
+
+
+def feature_rows(listed: DataFrame, paged: DataFrame) -> DataFrame:
+    """Distinct (document_id, document_page, feature_name) of two forms: rows with those columns, and rows
+    (id, features) whose id reads document_n_page_m; rows without a feature or page go."""
+    where = F.regexp_extract("id", r"^(document_\d+)_page_(\d+)$", 1)
+    page = F.regexp_extract("id", r"^(document_\d+)_page_(\d+)$", 2).try_cast("int")
+    other = paged.select(where.alias("document_id"), page.alias("document_page"), F.explode("features").alias("feature_name"))
+    rows = listed.select("document_id", F.col("document_page").try_cast("int").alias("document_page"), "feature_name").unionByName(other)
+    return rows.where("document_id <> '' and document_page is not null and trim(feature_name) <> ''").distinct()
+
+
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows whose cluster_id is a whole number."""
+    return rows.withColumn("cluster_id", F.col("cluster_id").cast("string").try_cast("int")).where("cluster_id is not null")
