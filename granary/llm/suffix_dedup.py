@@ -462,7 +462,10 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     found = scratch.table(found.mapInArrow(_gathered([np.int64, np.uint32], ["doc_id", "pos"], 1), "doc_id long, pos binary"), "anchors")
     scratch.drop(marks)
     scratch.release()
-    held = long.join(found, "doc_id").join(copies, ["doc_id", "tid"], "left_anti").select("doc_id", "text", "tid", "pos")
+    # Copies meet by doc_id alone, as anchors do, so that the texts are dealt out once.
+    settled = copies.groupBy("doc_id").agg(F.collect_set("tid").alias("settled"))
+    held = long.join(found, "doc_id").join(settled, "doc_id", "left")
+    held = held.where(~F.coalesce(F.array_contains("settled", F.col("tid")), F.lit(False))).select("doc_id", "text", "tid", "pos")
     hits = bucketed(held.mapInArrow(_cut(max(4, size // PIECES_OF)), _PIECE_ROWS)).mapInArrow(_answered(parts), "bucket long, doc_id binary, tid binary, pos binary, bits binary")
     hits = bucketed(hits).mapInArrow(_gathered([np.int64, np.int64, np.uint32, B.U64], ["doc_id", "tid", "pos", "bits"], 2), "doc_id long, tid long, pos binary, bits binary")
     hits = scratch.table(hits.select("doc_id", "tid", F.struct("pos", "bits").alias("hits")), "hits")
