@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,12 @@ class Scratch:
 
     def release(self) -> None:
         """Let go of the shuffle files of steps whose results are written; Spark deletes them once the plans
-        that made them are collected, which a driver with memory to spare may put off for long."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        that made them are collected, which a driver with memory to spare may put off for long. Some plans are
+        held until the first round's references are dealt with, and go in the second."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
