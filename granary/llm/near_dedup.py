@@ -32,7 +32,7 @@ from .components import connected_components
 from .scratch import Scratch, documents, shuffle_partitions
 
 BLOCK = 1 << 20
-#: One-bit hashes of a class, in so many longs: the low bits of the first hashes of its signature.
+#: One-bit hashes of a class, in so many longs: a bit of each of the first hashes' least values, mixed.
 LONGS = 3
 SKETCH = [f"s{k}" for k in range(LONGS)]
 #: What a block of classes holds on average at most.
@@ -40,9 +40,11 @@ BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 17
 _SEEDS = np.random.default_rng(11).integers(0, 2**32, (2, 4096), dtype=np.uint32)
 
 
-def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
-    """MinHash signatures, one row a set, of each least value's low 16 bits; sets are not empty."""
-    out = np.empty((len(sets), hashes), np.uint16)
+def signatures(sets: list[np.ndarray], hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash signatures, one row a set, of each least value's low 16 bits, and the one-bit hashes; sets are
+    not empty. The low bits of a least value are those of its shingle, the same for all hashes but for a
+    constant, so a one-bit hash is taken after mixing."""
+    out, bits = np.empty((len(sets), hashes), np.uint16), np.empty((len(sets), 64 * LONGS), np.uint8)
     i = 0
     while i < len(sets):
         j, n = i, 0
@@ -55,9 +57,12 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
         for k in range(hashes):
             np.bitwise_xor(x, _SEEDS[0, k], out=y)
             np.multiply(y, _SEEDS[1, k] | np.uint32(1), out=y)
-            out[i:j, k] = np.minimum.reduceat(y, starts).astype(np.uint16)
+            least = np.minimum.reduceat(y, starts)
+            out[i:j, k] = least.astype(np.uint16)
+            if k < 64 * LONGS:
+                bits[i:j, k] = B.mix(least.astype(B.U64)) & B.U64(1)
         i = j
-    return out
+    return out, bits
 
 
 def _signed(width: int, hashes: int):
@@ -67,11 +72,11 @@ def _signed(width: int, hashes: int):
             for i, j in B.blocks(at, BLOCK):
                 sets = B.shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
                 full = [k for k, s in enumerate(sets) if len(s)]
-                sig = signatures([sets[k] for k in full], hashes) if full else None
+                sig, one = signatures([sets[k] for k in full], hashes) if full else (None, None)
                 keys, sigs = [None] * len(sets), [None] * len(sets)
                 bits = np.zeros((len(sets), LONGS), np.int64)
                 if full:
-                    bits[full] = np.packbits((sig[:, : 64 * LONGS] & 1).astype(np.uint8), axis=1).view(np.int64)
+                    bits[full] = np.packbits(one, axis=1).view(np.int64)
                 for n, k in enumerate(full):
                     keys[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
                     sigs[k] = sig[n].tobytes()

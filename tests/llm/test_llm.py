@@ -3,6 +3,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -91,6 +92,24 @@ def test_near_brute(spark):
     assert got == want
 
 
+def test_sketch_keeps_small_pairs():
+    """Pairs at exactly 0.8, four of five shingles, pass the one-bit hashes."""
+    rng = np.random.default_rng(7)
+    five = [np.sort(s) for s in rng.integers(0, 2**64, (20_000, 5), dtype=np.uint64)]
+    four = [np.delete(s, k) for s, k in zip(five, rng.integers(0, 5, len(five)), strict=True)]
+
+    def sketch(sets):
+        lines = [" ".join(f"{v:x}" for v in s) for s in sets]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines)), pa.int64()), pa.array(lines)], ["doc_id", "text"])
+        made = pa.Table.from_batches(near_dedup._signed(1, 200)([batch]))
+        return np.stack([made[c].to_numpy() for c in near_dedup.SKETCH], 1).view(np.uint64)
+
+    bits = 64 * near_dedup.LONGS
+    equal = bits - np.bitwise_count(sketch(five) ^ sketch(four)).sum(1, dtype=int)
+    assert equal.min() >= near_dedup.least_matches(bits, bits, 0.9, 1e-9)[0]
+    assert abs(equal.mean() / bits - 0.9) < 0.002
+
+
 def test_exact_edges(spark):
     got = {r.doc_id: r for r in exact_dedup.exact_duplicates(table(spark, ROWS)).collect()}
     assert got[1].keep_id == 7 and got[1].group_size == 3 and not got[2].kept and got[4].kept and not got[3].kept
