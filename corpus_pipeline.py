@@ -6,7 +6,7 @@ documents, but for the last. Its result is written as Parquet in the shared fold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, exact_dedup, near_dedup, packing, quality
@@ -25,8 +25,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    return without(docs, exact_dedup.exact_duplicates(docs).where("not kept"))
+    """Of equal texts, but for the case of A-Z, one row with the largest doc_id; doc_ids may repeat or be null.
+    Rows equal in both are ordered by their text, and those equal in that too by a hash of all columns."""
+    found = exact_dedup.exact_duplicates(docs).select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha"), "kept")
+    text = exact_dedup.ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn("_sha", F.unhex(F.sha2(text, 256)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha"))
+    # Kept rows that repeat both are few; only they are ordered.
+    repeated = found.where("kept").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "sha")
+    dropped = found.where("not kept").select("id", "sha").distinct().union(repeated)
+    first = Window.partitionBy(F.col("doc_id").cast("long"), "_sha").orderBy("text", F.xxhash64(*docs.columns))
+    one = rows.join(repeated, same, "left_semi").withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
+    return rows.join(dropped, same, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,6 +285,17 @@ def test_calls(spark):
     assert got[3, None].json == '{"content":null,"role":null,"type":"message"}' and got[None, 0].status == "unanswered" and got[4, 0].status == "repeated"
 
 
+def test_exact_stage_rows(spark):
+    """Dropping is by row: a doc_id may repeat with other texts, or be null."""
+    import corpus_pipeline as p
+
+    rows = [(5, "x"), (7, "X"), (5, "unique"), (8, "twice"), (8, "twice"), (8, "Twice"), (None, "x"), (None, "n"), (None, "N"), (3, None), (2, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    out = p.exact_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert by_id(out.select("doc_id", "text")) == sorted([(7, "X"), (5, "unique"), (8, "Twice"), (None, "N"), (3, None)], key=str)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as p
 
