@@ -70,7 +70,7 @@ def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Seeds:
     """The masked hashes of some benchmark items, by mask, with a bit table before the search."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.ids = [i for i, _ in items]
         data, at = B.buffers(pa.array([t for _, t in items], pa.string()))
         self.value, self.first = word_values(data, at)
@@ -158,19 +158,19 @@ def _cleaned(seeds, at: int):
 
 
 def _seed_blocks(benchmark: DataFrame):
-    """Broadcast seeds of the items, a block at a time."""
+    """Broadcast seeds of the items with text, a block at a time."""
     sc = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // BLOCK_BYTES))
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield sc.broadcast(Seeds(sorted((r.item_id, r.text) for r in own.collect())))
+        yield sc.broadcast(Seeds([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in whose text no passage of the benchmark stands; nothing is
-    shuffled. Null and empty texts are clean."""
+    shuffled. Null and empty texts are clean; items count with or without an id."""
     for seeds in _seed_blocks(benchmark):
         docs = docs.mapInArrow(_cleaned(seeds, docs.columns.index("text")), docs.schema)
     return docs
@@ -185,6 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one block, rows that repeat a doc_id are returned as one. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    benchmark = benchmark.where("item_id is not null")
     parts = [rows.mapInArrow(_matched(seeds), "doc_id long, items array<long>") for seeds in _seed_blocks(benchmark)]
     found = parts[0]
     for part in parts[1:]:

@@ -198,6 +198,13 @@ def test_substitutions(spark):
     assert got == {1: [1], 2: [1], 3: [], 4: [2], 5: [], 6: []}
 
 
+def test_clean_by_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "a b c"), (None, "q r"), (1, "d e f"), (None, None)], "item_id long, text string")
+    docs = table(spark, [(1, "x A  b c"), (2, "d e f"), (3, "a c b"), (4, None), (5, "q r")])
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {3, 4}
+    assert {r.doc_id: r["items"] for r in decontaminate.contamination(docs, bench).collect()} == {1: [], 2: [1], 3: [], 4: [], 5: []}
+
+
 def test_token_files(spark, data):
     from tokenizers import Tokenizer
 
