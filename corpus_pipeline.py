@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from granary.llm import decontaminate, exact_dedup, near_dedup, packing, quality, token_files
 from granary.llm.scratch import Scratch, bounded_batches, documents
 
 
@@ -51,8 +51,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's length, bucket and batch."""
-    return packing.pack(packing.word_lengths(docs))
+    """Each document's length in tokens of op8's vocabulary, bucket and batch."""
+    bounded_batches(spark)
+    return packing.pack(packing.token_lengths(docs, token_files.vocabulary("word_bpe_49k.json")))
 
 
 STAGES = [

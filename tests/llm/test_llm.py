@@ -268,6 +268,21 @@ def test_best_edges():
     assert packing.best_edges([], [], [], 3) == []
 
 
+def test_packing_stage_counts_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    coder = Tokenizer.from_file(token_files.vocabulary("word_bpe_49k.json"))
+    rows = [(1, "中文没有空格" * 4000), (2, "x1y2" * 9000), (3, None), (None, "two words"), (4, "中文没有空格" * 4000)]
+    got = p.packing_stage(spark, table(spark, rows), "").collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(coder.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    batches = {}
+    for r in got:
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    assert all(len(b) == 1 or len(b) * b[0].bucket_length <= 16384 for b in batches.values())
+
+
 def test_calls(spark):
     schema = "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, content string, after array<string>"
     rows = [
