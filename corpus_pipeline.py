@@ -53,7 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's length in tokens of op8's vocabulary, bucket and batch."""
     bounded_batches(spark)
-    return packing.pack(packing.token_lengths(docs, token_files.vocabulary("word_bpe_49k.json")))
+    return packing.pack(packing.token_lengths(docs, token_files.vocabulary("word_bpe_49k.json")), tight=True)
 
 
 STAGES = [

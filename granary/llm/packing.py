@@ -20,6 +20,8 @@ from . import token_files
 from .scratch import Scratch, documents, shuffle_partitions
 
 EXACT, FINE = 512, 8
+#: Distinct lengths up to which none is binned where edges are to be lengths that occur.
+LENGTHS = 4096
 
 
 def length_bin(n: Column) -> Column:
@@ -55,25 +57,39 @@ def best_edges(bins: list[int], counts: list[int], sums: list[int], buckets: int
     return [*out, int(edge[j])][::-1]
 
 
-def pack(rows: DataFrame, *, buckets: int = 8, budget: int = 16384) -> DataFrame:
+def histogram(placed: DataFrame, tight: bool) -> list:
+    """Ascending rows of edge, c rows and s, the sum of their lengths. If `tight`, edges are lengths that
+    occur: all of them, or the largest of each bin where there are more than LENGTHS."""
+    totals = F.count(F.lit(1)).alias("c"), F.sum("n_tokens").alias("s")
+    if not tight:
+        return placed.groupBy(F.col("bin").alias("edge")).agg(*totals).orderBy("edge").collect()
+    exact = placed.groupBy(F.col("n_tokens").alias("edge")).agg(*totals).orderBy("edge").limit(LENGTHS + 1).collect()
+    if len(exact) <= LENGTHS:
+        return exact
+    return placed.groupBy("bin").agg(F.max("n_tokens").alias("edge"), *totals).orderBy("edge").collect()
+
+
+def pack(rows: DataFrame, *, buckets: int = 8, budget: int = 16384, tight: bool = False) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch) for every row of rows(doc_id, n_tokens).
 
     bucket counts from 0 by length, bucket_length is what its rows are padded to, and batch counts from 0
     inside the bucket. A row longer than the budget is a batch of its own. A null length counts as 0; a
-    null doc_id comes first; rows that repeat a doc_id all get places. Other columns are ignored.
+    null doc_id comes first; rows that repeat a doc_id all get places. Other columns are ignored. If `tight`,
+    bucket_length is the largest length in the bucket and padding is least over all lengths, or, where there
+    are more than LENGTHS distinct ones, over buckets of whole bins.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     rows = rows.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
     first = F.col("doc_id").asc_nulls_first()
     rows = rows.withColumn("bin", length_bin(F.col("n_tokens"))).repartitionByRange(shuffle_partitions(spark), first)
     placed = scratch.table(rows.withColumn("part", F.spark_partition_id()), "lengths")
-    histogram = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("c"), F.sum("n_tokens").alias("s")).orderBy("bin").collect()
-    edges = best_edges([r.bin for r in histogram], [r.c for r in histogram], [r.s for r in histogram], buckets)
+    lengths = histogram(placed, tight)
+    edges = best_edges([r.edge for r in lengths], [r.c for r in lengths], [r.s for r in lengths], buckets)
     if not edges:
         return placed.selectExpr("doc_id", "n_tokens", "0 as bucket", "n_tokens as bucket_length", "n_tokens as batch")
     bucket = F.lit(len(edges) - 1)
     for k in range(len(edges) - 2, -1, -1):
-        bucket = F.when(F.col("bin") <= edges[k], k).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") <= edges[k], k).otherwise(bucket)
     placed = placed.withColumn("bucket", bucket)
     number = F.row_number().over(Window.partitionBy("bucket", "part").orderBy(first, "n_tokens")) - 1
     counts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -283,6 +283,24 @@ def test_packing_stage_counts_tokens(spark):
     assert all(len(b) == 1 or len(b) * b[0].bucket_length <= 16384 for b in batches.values())
 
 
+def test_tight_edges(spark, monkeypatch):
+    """Bucket lengths are lengths that occur, and padding is least over all of them."""
+    rng = np.random.default_rng(4)
+    lengths = [int(n) for n in [*rng.integers(1, 4000, 25), 1025, 1025, 5001]]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+
+    def padding(edges):
+        return sum(min(e for e in edges if e >= n) - n for n in lengths)
+
+    best = min(padding((*c, max(lengths))) for c in combinations(sorted(set(lengths)), 2))
+    got = packing.pack(rows, buckets=3, tight=True).collect()
+    assert sum(r.bucket_length - r.n_tokens for r in got) == best
+    monkeypatch.setattr(packing, "LENGTHS", 3)
+    for r in (rest := packing.pack(rows, buckets=3, tight=True).collect()):
+        assert r.bucket_length == max(x.n_tokens for x in rest if x.bucket == r.bucket)
+    assert sum(r.bucket_length - r.n_tokens for r in rest) <= sum(r.bucket_length - r.n_tokens for r in packing.pack(rows, buckets=3).collect())
+
+
 def test_calls(spark):
     schema = "conv_id long, turn long, kind string, role string, call_id string, name string, arguments string, content string, after array<string>"
     rows = [
