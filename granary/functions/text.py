@@ -97,10 +97,10 @@ def clamp_score(x: Column, low: int = 1, high: int = 5, default: int = 3) -> Col
 
 
 def sentences(x: Column) -> Column:
-    """Sentences by end marks, then lines if that gives one at most, then the text itself."""
+    """Sentences by end marks, then lines if that gives one at most: of a text of one line the text itself."""
     marked = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"[^.!?\n]+[.!?]+(?:\s+|$)|[^.!?\n]+(?:\n|$)"), F.lit(0)), strip), lambda s: s != "")
     lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda s: s != "")
-    return F.when(F.size(marked) > 1, marked).when(F.size(lines) > 1, lines).otherwise(marked)
+    return F.when(F.size(marked) > 1, marked).otherwise(lines)
 
 
 def split_sentences(x: Column) -> Column:

@@ -102,3 +102,7 @@ def test_density_clusters(spark):
         assert got.pop(-1) == got.pop(-2) == (None, False)
         assert got == brute_clusters(ids, vectors, eps, 3)
     assert graphs.density_clusters(odd, 0.3, 1).where("core").count() == 0
+
+
+def test_sentences_fall_back(spark):
+    assert values(spark, [("...",), ("Hello.World",), ("One. ",), ("a\nb",), ("A b. C!",), (" \n",), ("",)], "a string", tx.sentences(F.col("a"))) == [["..."], ["Hello.World"], ["One."], ["a", "b"], ["A b.", "C!"], [], []]
