@@ -64,7 +64,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A classifier cannot be put in SQL; the tests hold run() against a brute-force version.
+#: A classifier cannot be put in SQL; the tests hold the exact stage to brute force, the others to less.
 ORACLE_SQL = None
 
 
