@@ -5,6 +5,7 @@ All hashes here are 64-bit and the same in every process; none depends on PYTHON
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,21 +17,11 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_RNG = np.random.default_rng(20_240_229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = int(_RNG.integers(2**62, 2**63)) | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and doubled as needed."""
-    have = _POWERS[base]
-    while len(have) < n:
-        step = U64(pow(base, len(have), 2**64))
-        have = np.concatenate([have, have * step])
-    _POWERS[base] = have
-    return have[:n]
+#: Up to so many bytes a word is hashed eight bytes at a time, beyond by BLAKE2.
+STEPWISE = 128
+_KEY = b"granary words"
+#: The low bytes of a word of eight, by how many of them count.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,13 +74,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, its length included."""
+    """A 64-bit hash of each byte span, its length included. Each step is a bijection of what went before and
+    of the next eight bytes, so spans of eight bytes or fewer of one length never collide, and longer ones do
+    as random numbers do, whatever their structure."""
     if not len(starts):
         return np.zeros(0, U64)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts]
-    return mix(value + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    eight = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
+    own = np.flatnonzero(size <= STEPWISE)
+    at, left = starts[own], size[own]
+    while len(own):
+        word = eight[at].view("<u8").ravel() & _LOW[np.minimum(left, 8)]
+        out[own] = mix((out[own] ^ word) * U64(0xD6E8FEB86659FD93))
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > STEPWISE).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=_KEY).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:

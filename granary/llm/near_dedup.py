@@ -100,7 +100,8 @@ def _sets(width: int):
             data, at = B.buffers(batch.column(1))
             for i, j in B.blocks(at, BLOCK):
                 sets = B.shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "shingles"])
+                rid, sig = (batch.column(k).slice(i, j - i) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([rid, sig, pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "sig", "shingles"])
 
     return run
 
@@ -137,23 +138,6 @@ def least_matches(hashes: int, step: int, threshold: float, miss: float) -> tupl
     return tuple(out)
 
 
-def _pruned(least: tuple[int, ...], step: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 4096):
-                some = batch.slice(part, 4096)
-                a, b = (np.frombuffer(b"".join(some.column(k).to_pylist()), np.uint16).reshape(some.num_rows, -1) for k in (2, 3))
-                alive, equal = np.arange(some.num_rows), np.zeros(some.num_rows, np.int64)
-                for k, most in enumerate(least):
-                    at = slice(k * step, (k + 1) * step)
-                    equal = equal + (a[alive, at] == b[alive, at]).sum(1)
-                    keep = equal >= most
-                    alive, equal = alive[keep], equal[keep]
-                yield pa.RecordBatch.from_arrays([some.column(k).take(pa.array(alive)) for k in (0, 1)], ["a", "b"])
-
-    return run
-
-
 def enough(shared: np.ndarray | int, na: np.ndarray | int, nb: np.ndarray | int, percent: int) -> np.ndarray | bool:
     return 100 * shared >= percent * (na + nb - shared)
 
@@ -165,12 +149,22 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _verified(percent: int):
+def _verified(least: tuple[int, ...], step: int, percent: int):
+    """Pairs (a, b, sig_a, sig_b, x, y) that are linked: signature batches, then full sets of what is left."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
+            alive, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for k, most in enumerate(least):
+                at = slice(k * step, (k + 1) * step)
+                equal = equal + (p[alive, at] == q[alive, at]).sum(1)
+                alive, equal = alive[equal >= most], equal[equal >= most]
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), B.U64), np.frombuffer(y.as_buffer(), B.U64)
+            for k in alive.tolist():
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), B.U64) for c in (4, 5))
                 if enough(overlap(x, y), len(x), len(y), percent):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
@@ -255,10 +249,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     leads = banded.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.min(mixed).alias("other")).where("lead < last")
     leads = leads.select("key", "lead", F.col("other").bitwiseXOR(F.col("key")).alias("other"))
     shared = scratch.table(banded.join(leads, "key"), "shared")
-    need = shared.select("rid").distinct()
-    sets = docs.join(need, docs.doc_id == need.rid).select("rid", "text").mapInArrow(_sets(width), "rid long, shingles binary")
-    sets = scratch.table(sets, "sets")
-    sigs = scratch.table(classes.join(need, "rid").select("rid", "n", "sig", *SKETCH), "sigs")
+    sigs = classes.join(shared.select("rid").distinct(), "rid").select("rid", "n", "sig", *SKETCH)
+    sigs = scratch.table(sigs, "sigs")
+    texts = docs.join(sigs.select("rid", "sig"), docs.doc_id == sigs.rid).select("rid", "text", "sig")
+    sets = scratch.table(texts.mapInArrow(_sets(width), "rid long, sig binary, shingles binary"), "sets")
     step = next(k for k in range(min(20, hashes), 0, -1) if hashes % k == 0)
     least = least_matches(hashes, step, percent / 100, miss)
     (bits,) = least_matches(64 * LONGS, 64 * LONGS, (1 + percent / 100) / 2, miss)
@@ -275,11 +269,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         return pairs.join(side("a", "n", *SKETCH), "a").join(side("b", "n", *SKETCH), "b").where(alike()).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        signed = pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").select("a", "b", "sig_a", "sig_b")
-        alive = signed.mapInArrow(_pruned(least, step), "a long, b long")
-        x = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
-        return scratch.table(alive.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
+        x, y = sets.toDF("a", "sig_a", "x"), sets.toDF("b", "sig_b", "y")
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b", "x", "y")
+        return scratch.table(both.mapInArrow(_verified(least, step, percent), "a long, b long"), "links")
 
     def placed(comps: DataFrame) -> DataFrame:
         """The rows of bands that are in more than one component, with the component of each."""
@@ -309,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     pairs = left.join(right, (left.key == right.key) & F.expr("a < b and hood_a <> hood_b") & alike()).select("a", "b").distinct()
     across = confirmed(pairs)
     # Within: blocks of one component, or of small ones, that hold so many rows and shingles.
-    members = rest.select("rid", "comp", "hood").distinct().join(sigs.select("rid", "n", "sig"), "rid").join(sets, "rid")
+    members = rest.select("rid", "comp", "hood").distinct().join(sets, "rid")
     sizes = rest.select("rid", "comp", "hood").distinct().join(sigs.select("rid", "n"), "rid").groupBy("hood", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
     sizes = sizes.withColumn("pool", F.when(F.col("c") >= BLOCK_ROWS // 2, F.col("comp")).otherwise(-1))
     mixed = sizes.groupBy("hood").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hood")
