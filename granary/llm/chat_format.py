@@ -70,6 +70,7 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     out = out.join(astray, "conv_id", "left_anti")
     edges = scratch.table(edges.join(astray, "conv_id", "left_semi").select(*KEYS, "pre").distinct(), "edges")
     left = scratch.table(plain.join(astray, "conv_id", "left_semi"), "left")
+    placed = scratch.path("placed")
     done = None
     while True:
         waits = edges.join(left.select("conv_id", F.col("call_id").alias("pre")), ["conv_id", "pre"], "left_semi").select(*KEYS).distinct()
@@ -82,7 +83,8 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
         ready = scratch.table(ready, "ready")
         if not ready.limit(1).count():
             break
-        done = ready if done is None else done.unionByName(ready)
+        ready.write.mode("append").parquet(placed)
+        done = ready.sparkSession.read.schema(ready.schema).parquet(placed)
         left = scratch.table(left.join(ready, KEYS, "left_anti"), "left")
     out = out.unionByName(left.select(*KEYS, F.col("call_turn").alias("level"), F.lit(True).alias("cyclic")))
     return out if done is None else out.unionByName(done.withColumn("cyclic", F.lit(False)))
@@ -99,6 +101,7 @@ def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]
     leave a null position. Extra columns are ignored.
     """
     scratch = Scratch(messages.sparkSession)
+    messages = messages.select("conv_id", "turn", "kind", "role", "call_id", "name", "arguments", "content", "after")
     ids = messages.where("kind in ('call', 'result') and conv_id is not null and call_id is not null")
     call = F.col("kind") == "call"
     sides = ids.groupBy(*KEYS).agg(
@@ -137,7 +140,8 @@ TOOLS = {"answer": {"prompt": ("string", True), "turn": ("integer", True)}}
 
 def conversation_calls(conversations: DataFrame) -> DataFrame:
     """Messages of conversations(conv_id, turn, role, text): a user's turn calls for an answer, the
-    assistant's next turn is its result, and a call comes after that of two turns before."""
+    assistant's next turn is its result, and a call comes after that of two turns before; but the call of
+    turn 0 comes after that of turn 2, an opening request being answered after the first question on it."""
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     turn = F.col("turn").cast("long")
 
@@ -153,7 +157,7 @@ def conversation_calls(conversations: DataFrame) -> DataFrame:
         F.when(user, "answer").alias("name"),
         F.when(user, F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn")), {"ignoreNullFields": "false"})).alias("arguments"),
         F.when(~F.coalesce(user, F.lit(False)), F.col("text")).alias("content"),
-        F.when(user, F.array(name(turn - 2))).alias("after"),
+        F.when(user & (turn == 0), F.array(name(turn + 2))).when(user & (turn != 2), F.array(name(turn - 2))).alias("after"),
     )
 
 
@@ -164,10 +168,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH m AS (SELECT *, CASE role WHEN 'user' THEN 'c' || conv_id || '-' || turn WHEN 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id FROM conversations),
-s AS (SELECT conv_id, call_id, count(*) FILTER (role = 'user') AS calls, count(*) FILTER (role = 'assistant') AS results, min(CASE WHEN role = 'user' THEN turn END) AS level
+s AS (SELECT conv_id, call_id, count(*) FILTER (role = 'user') AS calls, count(*) FILTER (role = 'assistant') AS results,
+    CASE WHEN min(turn) FILTER (role = 'user') = 0 AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user' AND turn = 2) THEN 3 ELSE min(turn) FILTER (role = 'user') END AS level
   FROM m WHERE role IN ('user', 'assistant') GROUP BY 1, 2)
 SELECT m.conv_id, m.turn,
-  CASE WHEN role = 'assistant' THEN greatest(2 * m.turn, 2 * level + 1) ELSE 2 * m.turn END AS position,
+  CASE role WHEN 'assistant' THEN greatest(2 * m.turn, 2 * level + 1) WHEN 'user' THEN 2 * coalesce(level, m.turn) ELSE 2 * m.turn END AS position,
   role, m.call_id,
   CASE WHEN role NOT IN ('user', 'assistant') THEN 'plain' WHEN calls > 1 OR results > 1 THEN 'repeated' WHEN calls = 1 AND results = 1 THEN 'linked'
     WHEN role = 'user' THEN 'unanswered' ELSE 'orphan' END AS status,

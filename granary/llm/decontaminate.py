@@ -130,16 +130,19 @@ class Seeds:
 
 
 def _matched(seeds):
+    """Rows (doc_id, text, items) with the ids of this block's items added."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = B.buffers(batch.column(1))
             for i, j in B.blocks(at, BLOCK):
                 value, first = word_values(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 row, item = seeds.value.matches(value, first)
-                lists = [[] for _ in range(j - i)]
+                lists = batch.column(2).slice(i, j - i).to_pylist()
                 for r, k in zip(row.tolist(), item.tolist(), strict=True):
                     lists[r].append(seeds.value.ids[k])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([sorted(set(x)) for x in lists], pa.list_(pa.int64()))], ["doc_id", "items"])
+                items = pa.array([sorted(set(x)) for x in lists], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(2)), items], ["doc_id", "text", "items"])
 
     return run
 
@@ -181,18 +184,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark(item_id, text).
 
     items are the distinct ids, ascending, of the items of which a passage stands in the text. Null and
-    empty texts and items hold no passage; items without an id are left out. With a benchmark of more than
-    one block, rows that repeat a doc_id are returned as one. Other columns are ignored.
+    empty texts and items hold no passage; items without an id are left out. Every row is returned, those
+    that repeat a doc_id or have none too. Documents are read once, and blocks of a benchmark of more than
+    one pass them on in a chain without a shuffle. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    benchmark = benchmark.where("item_id is not null")
-    parts = [rows.mapInArrow(_matched(seeds), "doc_id long, items array<long>") for seeds in _seed_blocks(benchmark)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if len(parts) > 1:
-        found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.array().cast("array<long>").alias("items"))
+    for seeds in _seed_blocks(benchmark.where("item_id is not null")):
+        rows = rows.mapInArrow(_matched(seeds), "doc_id long, text string, items array<long>")
+    return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Language identification by the nearest of several centroids of each language.
 
 Texts become TF-IDF vectors of hashed byte trigrams of their lower-cased letters, anything else in ASCII
-being a blank and trigrams with two blanks left out; document frequencies are counted over all documents. Labelled vectors of a bounded sample are clustered by language (spherical k-means), and a text
+being a blank and trigrams with two blanks left out. Document frequencies are counted over all rows that may be
+learnt from; labelled vectors of a bounded sample of them are clustered by language (spherical k-means), and a text
 takes the language of the centroid of the highest cosine. A centroid's distance limit is what all but a
 stated share of its own texts keep; farther texts are marked rejected.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +23,7 @@ from .scratch import documents
 
 DIMS = 4096
 BLOCK = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 UNDETERMINED = "und"
 
 
@@ -91,7 +91,7 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About `most` rows of each label by a hash of doc_id, all where there are fewer."""
+    """The rows of about `most` ids of each label by a hash of doc_id, of all where there are fewer."""
     share = {r[label]: min(1.0, most / r["n"]) for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(0.0)
     for value, part in share.items():
@@ -100,7 +100,9 @@ def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
 
 
 def vectors(rows: DataFrame, label: str, counts, lower: bool = False) -> tuple[np.ndarray, list]:
-    """Term counts and labels of a sample (text, label), on the driver; the order is that of the hashes."""
+    """Term counts and labels of a sample (doc_id, text, label), on the driver, by doc_id; of rows that share
+    id and label, one with the least text, so that the driver gets no more than were sampled."""
+    rows = rows.groupBy("doc_id", label).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +139,10 @@ def fit(docs: DataFrame, learn: Column, *, per_language: int = 400, per_language
     """Centroids from rows of docs(doc_id, text, lang) that satisfy `learn` and have a language and a letter.
 
     At most about `per_language` texts of each language, by a hash of doc_id, are clustered; document
-    frequencies come from all rows.
+    frequencies come from all those rows.
     """
-    df, n = document_frequencies(docs, trigram_counts, DIMS, True)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    df, n = document_frequencies(rows, trigram_counts, DIMS, True)
     x, names = vectors(sample(rows, "lang", per_language), "lang", trigram_counts, True)
     idf = weights(df, n)
     if not names:
@@ -164,15 +166,14 @@ def _predicted(model):
         m = model.value
         for batch in batches:
             for i, j, data, at in text_blocks(batch, 1, True):
-                texts = batch.column(1).slice(i, j - i).to_pylist()
+                texts = batch.column(1).slice(i, j - i)
                 names, scores, far = [UNDETERMINED] * (j - i), np.zeros(j - i), np.ones(j - i, bool)
                 if m.names:
                     near = tfidf(trigram_counts(data, at), m.idf) @ m.centres.T
                     best = np.argmax(near, axis=1)
                     value = near[np.arange(j - i), best].clip(0, 1)
-                    for k, t in enumerate(texts):
-                        if t and LETTER.search(t):
-                            names[k], scores[k], far[k] = m.names[best[k]], value[k], value[k] < m.limits[best[k]]
+                    for k in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, LETTER), False)).tolist():
+                        names[k], scores[k], far[k] = m.names[best[k]], value[k], value[k] < m.limits[best[k]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names), pa.array(scores.astype(float)), pa.array(far)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return run

@@ -1,8 +1,8 @@
 """Length buckets that minimise padding, and token-budget batches inside each.
 
 A dynamic program over the histogram of all lengths chooses at most `buckets` upper edges for which the
-padding, the sum of edge - length, is least. Lengths over 512 are binned upwards to one 256th of their power
-of two or less, so the histogram has some thousand bins at most, however long texts are; sums stay exact.
+padding, the sum of edge - length, is least over all choices. The histogram has a row for each length that
+occurs, so at most as many as the longest text has tokens, and each round of the program passes over it once.
 Inside a bucket, rows in the order of doc_id fill batches of budget // edge rows, numbered by prefix sums
 over range partitions, so a bucket that holds most rows is not one task.
 """
@@ -11,80 +11,75 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import token_files
 from .scratch import Scratch, documents, shuffle_partitions
 
-EXACT, FINE = 512, 8
-#: Distinct lengths up to which none is binned where edges are to be lengths that occur.
-LENGTHS = 4096
 
+def best_edges(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+    """Upper edges, ascending, of at most `buckets` buckets with the least padding; lengths ascend.
 
-def length_bin(n: Column) -> Column:
-    """The upper edge of a length's histogram bin."""
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), (F.floor(F.log2(n.cast("double"))) - FINE).cast("int"))
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step)
-
-
-def best_edges(bins: list[int], counts: list[int], sums: list[int], buckets: int) -> list[int]:
-    """Upper edges, ascending, of at most `buckets` buckets with the least padding; of equal ones that
-    whose last bucket begins lowest."""
-    edge, c, s = (np.array(x, np.int64) for x in (bins, np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sums)])))
-    m = len(edge)
+    A round allows one bucket more. What ends at length j costs min over i of cost(i) + j * (rows from i to
+    j) - (their sum); as i grows so does the row count before it, so the choices are lines whose slopes fall,
+    and their lower hull is walked as j grows. Ties go to the last bucket that begins lowest.
+    """
+    m = len(lengths)
     if not m:
         return []
-    cost = edge * c[1:] - s[1:]
-    froms = []
+    c, s = [0] * (m + 1), [0] * (m + 1)
+    for k in range(m):
+        c[k + 1], s[k + 1] = c[k] + counts[k], s[k] + counts[k] * lengths[k]
+    cost = [lengths[j] * c[j + 1] - s[j + 1] for j in range(m)]
+    backs = []
     for _ in range(1, min(buckets, m)):
-        new, back = cost.copy(), np.full(m, -1)
+        new, back = cost[:], [-1] * m
+        hull: list[tuple[int, int, int]] = []  # of the lines y = slope * length + base: slope, base, i
+        head = 0
         for j in range(1, m):
-            through = cost[:j] + edge[j] * (c[j + 1] - c[1 : j + 1]) - (s[j + 1] - s[1 : j + 1])
-            i = int(np.argmin(through))
-            if through[i] < new[j]:
-                new[j], back[j] = through[i], i
-        froms.append(back)
+            slope, base = -c[j], cost[j - 1] + s[j]
+            while len(hull) - head >= 2:
+                (p, q, _), (u, v, _) = hull[-2], hull[-1]
+                if (base - q) * (p - u) < (v - q) * (p - slope):
+                    hull.pop()
+                else:
+                    break
+            hull.append((slope, base, j - 1))
+            x = lengths[j]
+            while len(hull) - head >= 2 and hull[head + 1][0] * x + hull[head + 1][1] < hull[head][0] * x + hull[head][1]:
+                head += 1
+            through = hull[head][0] * x + hull[head][1] + x * c[j + 1] - s[j + 1]
+            if through < new[j]:
+                new[j], back[j] = through, hull[head][2]
+        backs.append(back)
         cost = new
     out, j = [], m - 1
-    for back in reversed(froms):
-        out.append(int(edge[j]))
+    for back in reversed(backs):
+        out.append(lengths[j])
         if back[j] < 0:
             return out[::-1]
         j = back[j]
-    return [*out, int(edge[j])][::-1]
-
-
-def histogram(placed: DataFrame, tight: bool) -> list:
-    """Ascending rows of edge, c rows and s, the sum of their lengths. If `tight`, edges are lengths that
-    occur: all of them, or the largest of each bin where there are more than LENGTHS."""
-    totals = F.count(F.lit(1)).alias("c"), F.sum("n_tokens").alias("s")
-    if not tight:
-        return placed.groupBy(F.col("bin").alias("edge")).agg(*totals).orderBy("edge").collect()
-    exact = placed.groupBy(F.col("n_tokens").alias("edge")).agg(*totals).orderBy("edge").limit(LENGTHS + 1).collect()
-    if len(exact) <= LENGTHS:
-        return exact
-    return placed.groupBy("bin").agg(F.max("n_tokens").alias("edge"), *totals).orderBy("edge").collect()
+    return [*out, lengths[j]][::-1]
 
 
-def pack(rows: DataFrame, *, buckets: int = 8, budget: int = 16384, tight: bool = False) -> DataFrame:
+def pack(rows: DataFrame, *, buckets: int = 8, budget: int = 16384) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch) for every row of rows(doc_id, n_tokens).
 
-    bucket counts from 0 by length, bucket_length is what its rows are padded to, and batch counts from 0
-    inside the bucket. A row longer than the budget is a batch of its own. A null length counts as 0; a
-    null doc_id comes first; rows that repeat a doc_id all get places. Other columns are ignored. If `tight`,
-    bucket_length is the largest length in the bucket and padding is least over all lengths, or, where there
-    are more than LENGTHS distinct ones, over buckets of whole bins.
+    bucket counts from 0 by length, bucket_length is the largest length in it, to which its rows are padded,
+    and batch counts from 0 inside the bucket. A row longer than the budget is a batch of its own. A null
+    length counts as 0; a null doc_id comes first; rows that repeat a doc_id all get places, in the order of
+    their lengths. Other columns are ignored.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
     rows = rows.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
     first = F.col("doc_id").asc_nulls_first()
-    rows = rows.withColumn("bin", length_bin(F.col("n_tokens"))).repartitionByRange(shuffle_partitions(spark), first)
-    placed = scratch.table(rows.withColumn("part", F.spark_partition_id()), "lengths")
-    lengths = histogram(placed, tight)
-    edges = best_edges([r.edge for r in lengths], [r.c for r in lengths], [r.s for r in lengths], buckets)
+    # Written before it is dealt out, as finding the ranges reads it too.
+    rows = scratch.table(rows, "lengths").repartitionByRange(shuffle_partitions(spark), first, "n_tokens")
+    placed = scratch.table(rows.withColumn("part", F.spark_partition_id()), "placed")
+    lengths = placed.groupBy("n_tokens").count().orderBy("n_tokens").collect()
+    edges = best_edges([r.n_tokens for r in lengths], [r["count"] for r in lengths], buckets)
     if not edges:
         return placed.selectExpr("doc_id", "n_tokens", "0 as bucket", "n_tokens as bucket_length", "n_tokens as batch")
     bucket = F.lit(len(edges) - 1)
@@ -125,7 +120,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(buckets: int = 8, budget: int = 16384) -> str:
-    """The same dynamic program, a round a common table, over all pairs of bins."""
+    """The same dynamic program, a round a common table, over all pairs of lengths."""
     rounds = "d1 AS (SELECT j, edge * c - s AS v, [edge] AS path FROM h),\n"
     for k in range(2, buckets + 1):
         rounds += f"""x{k} AS (SELECT b.j, min({{'v': d.v + b.edge * (b.c - a.c) - (b.s - a.s), 'i': a.j}}) AS best FROM h a JOIN d{k - 1} d ON d.j = a.j JOIN h b ON a.j < b.j GROUP BY b.j),
@@ -134,11 +129,10 @@ d{k} AS (SELECT h.j, CASE WHEN x.best.v < d.v THEN x.best.v ELSE d.v END AS v, C
 """
     return rf"""
 WITH l AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
-b AS (SELECT doc_id, n, CASE WHEN n <= {EXACT} THEN n ELSE ceil(n / (1 << (floor(log2(n))::INT - {FINE})))::BIGINT * (1 << (floor(log2(n))::INT - {FINE})) END AS bin FROM l),
-h0 AS (SELECT bin AS edge, count(*)::BIGINT AS c0, sum(n)::BIGINT AS s0 FROM b GROUP BY bin),
+h0 AS (SELECT n AS edge, count(*)::BIGINT AS c0, sum(n)::BIGINT AS s0 FROM l GROUP BY n),
 h AS (SELECT row_number() OVER (ORDER BY edge) AS j, edge, sum(c0) OVER (ORDER BY edge)::BIGINT AS c, sum(s0) OVER (ORDER BY edge)::BIGINT AS s FROM h0),
 {rounds}e1 AS (SELECT unnest(path) AS bucket_length, generate_subscripts(path, 1) - 1 AS bucket FROM (SELECT path FROM d{buckets} ORDER BY j DESC LIMIT 1)),
-p AS (SELECT b.doc_id, b.n, min(e1.bucket) AS bucket, min(e1.bucket_length) AS bucket_length FROM b JOIN e1 ON b.bin <= e1.bucket_length GROUP BY b.doc_id, b.n)
+p AS (SELECT l.doc_id, l.n, min(e1.bucket) AS bucket, min(e1.bucket_length) AS bucket_length FROM l JOIN e1 ON l.n <= e1.bucket_length GROUP BY l.doc_id, l.n)
 SELECT doc_id, n AS n_tokens, bucket::INT AS bucket, bucket_length, ((row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // greatest(1, {budget} // greatest(bucket_length, 1)))::BIGINT AS batch FROM p
 """
 

@@ -96,13 +96,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, per_
     return Neighbours(idf, basis, normalised(x @ basis), np.array(y, float), near, sharpness)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k highest of each row; of equal ones the first, which is that of the least doc_id."""
+    best = np.argpartition(cosine, -k, axis=1)[:, -k:]
+    least = np.take_along_axis(cosine, best, 1).min(1)
+    for row in np.flatnonzero((cosine >= least[:, None]).sum(1) > k).tolist():
+        best[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return best
+
+
 def scores(model: Neighbours, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(model.labels):
         return np.full(len(offsets) - 1, 0.5)
     latent = normalised(tfidf(term_counts(data, offsets), model.idf) @ model.axes)
     cosine = latent @ model.latent.T
-    k = min(model.near, cosine.shape[1])
-    best = np.argpartition(cosine, -k, axis=1)[:, -k:]
+    best = nearest(cosine, min(model.near, cosine.shape[1]))
     weight = np.clip(np.take_along_axis(cosine, best, 1), 0, 1).astype(float) ** model.sharpness + 1e-9
     return ((weight * model.labels[best]).sum(1) / weight.sum(1)).clip(0, 1)
 
@@ -119,7 +127,8 @@ def _scored(model, column: int):
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:
     """(doc_id, score) for every row of docs(doc_id, text), score from 0 to 1, higher for label 1.
 
-    Null and empty texts, whose vector is zero, are scored as any other: all neighbours are equally far.
+    Null and empty texts have a zero vector, as far from every neighbour; as in any tie, those of the least
+    doc_ids vote.
     Repeated rows score alike; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -38,6 +38,8 @@ PIECE = LENGTH + WINDOWS - 1
 ROW = PIECE + 2
 #: Bytes of text that a task takes at once, and that a bucket of anchors or pieces gets of them on average.
 BLOCK, ANCHORS_OF, PIECES_OF = 8 << 20, 24 << 20, 12 << 20
+#: From so many pieces a suffix takes eight bytes and not four.
+MANY = 1 << 24
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -272,8 +274,9 @@ def collection_bwt(pieces: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) ->
     symbols[:, 1:] = pieces + 1  # no byte of UTF-8 is 255
     sizes = sizes.astype(np.int64)
     bwt = symbols[np.arange(n), sizes].copy()
-    # A suffix by its piece and start in one number; what a bucket holds is far from 2**24 pieces.
-    lcp, suffix = np.zeros(n, np.uint8), (np.arange(n, dtype=np.uint32) << 8) | sizes.astype(np.uint32)
+    # A suffix by its piece and start in one number, which holds any number of pieces.
+    wide = np.uint32 if n < MANY else np.uint64
+    lcp, suffix = np.zeros(n, np.uint8), (np.arange(n, dtype=wide) << wide(8)) | sizes.astype(wide)
     at, live = np.arange(n), np.arange(n)  # positions of the last round's suffixes, ascending, and their pieces
     for length in range(1, int(sizes.max(initial=0)) + 1):
         grown = sizes[live] >= length
@@ -314,12 +317,12 @@ def collection_bwt(pieces: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) ->
             return out
 
         bwt = merged(bwt, symbols[live_new, from_size])
-        suffix = merged(suffix, ((live_new << 8) | from_size).astype(np.uint32))
+        suffix = merged(suffix, ((live_new << 8) | from_size).astype(wide))
         lcp = merged(lcp, own[sorter])
         follows = place + 1 < len(new)
         lcp[place[follows] + 1] = np.where(new[place[follows] + 1], lcp[place[follows] + 1], after[sorter][follows])
         at, live = place, live_new
-    return bwt, suffix >> 8, (suffix & 255).astype(np.uint8), lcp
+    return bwt, suffix >> wide(8), (suffix & wide(255)).astype(np.uint8), lcp
 
 
 def related(pieces: np.ndarray) -> np.ndarray:

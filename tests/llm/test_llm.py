@@ -8,7 +8,9 @@ import pytest
 from conftest import same
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, registry, suffix_dedup, token_counts, token_files
+from granary.llm import bytesops as B
+from granary.llm import chat_format, components, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, registry, suffix_dedup, token_counts, token_files
+from granary.llm.scratch import Scratch
 
 ROWS = [(1, None), (2, ""), (3, "a"), (4, "A"), (None, "a b c d e f g h i j k l"), (5, "x " * 30_000), (5, "x " * 30_000), (6, "  \n\n "), (7, None), (8, "One two. Three é\n four"), (9, "a b c d e f g h i j k l")]
 #: Names that the operators use themselves.
@@ -205,6 +207,63 @@ def test_clean_by_items_without_id(spark):
     assert {r.doc_id: r["items"] for r in decontaminate.contamination(docs, bench).collect()} == {1: [], 2: [1], 3: [], 4: [], 5: []}
 
 
+def test_contamination_by_blocks(spark, monkeypatch):
+    """A benchmark of several blocks gives every row back, those that repeat an id or have none too."""
+    bench = spark.createDataFrame([(k, " ".join(f"i{k}w{n}" for n in range(12))) for k in range(8)], "item_id long, text string")
+    rows = [(1, "i3w0 i3w1 i3w2 i3w3 i3w4 i3w5 i3w6 i3w7 i3w8 i3w9"), (1, "clean"), (None, " ".join(f"i{k}w{n}" for k in (5, 2) for n in range(12))), (None, None), (2, ""), (2, "")]
+    want = by_id(decontaminate.contamination(table(spark, rows), bench))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert by_id(decontaminate.contamination(table(spark, rows), bench)) == want
+    assert sorted(r[3] for r in want) == [[], [], [], [], [2, 5], [3]]
+    assert decontaminate.clean(table(spark, rows), bench).count() == 4
+
+
+def test_word_hashes_of_structured_bytes():
+    """Thue-Morse words and their complements, which polynomials modulo 2**64 cannot tell apart, differ."""
+    for bits in (5, 7, 8, 10, 11, 12):
+        one = np.array([97 + bin(k).count("1") % 2 for k in range(1 << bits)], np.uint8)
+        data = np.concatenate([one, 195 - one])
+        at = np.array([0, len(one)])
+        a, b = B.span_hashes(data, at, at + len(one)).tolist()
+        assert a != b
+        x, y = (B.shingles(d, np.array([0, len(d)]), 2)[0].tolist() for d in (one, 195 - one))
+        assert x != y and len(x) == len(y) == 1
+
+
+def test_word_hashes():
+    """Equal spans have equal hashes wherever they stand; others differ."""
+    rng = np.random.default_rng(6)
+    spans = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in rng.integers(0, 300, 4000)]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(x) for x in spans])
+    got = B.span_hashes(data, ends - [len(x) for x in spans], ends).tolist()
+    assert len(set(got)) == len(set(spans)) == len(set(zip(got, spans, strict=True)))
+
+
+def test_components(spark, monkeypatch):
+    """Contraction over several tasks and levels, with a hub, a path and cliques."""
+    rng = np.random.default_rng(8)
+    links = [(0, k) for k in range(1, 40)] + [(100 + k, 101 + k) for k in range(60)] + [tuple(map(int, x)) for x in rng.integers(200, 260, (45, 2))] + [(7, 7), (None, 3)]
+    parent = {k: k for link in links for k in link if k is not None}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    want = {k: root(k) for a, b in links if a is not None and a != b for k in (a, b)}
+    frame = spark.createDataFrame(links, "a long, b long")
+    for most in (1 << 19, 30, 7):
+        monkeypatch.setattr(components, "LINKS", most)
+        got = [tuple(r) for r in components.connected_components(frame, Scratch(spark)).collect()]
+        assert dict(got) == want and len(got) == len(want)
+    assert components.connected_components(frame.limit(0), Scratch(spark)).count() == 0
+
+
 def test_token_files(spark, data):
     from tokenizers import Tokenizer
 
@@ -255,17 +314,20 @@ def test_language(spark):
 
 def test_best_edges():
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        lengths = rng.integers(1, 40, 30)
-        bins, counts = np.unique(lengths, return_counts=True)
-        got = packing.best_edges(bins.tolist(), counts.tolist(), (bins * counts).tolist(), 3)
+    for top in (40, 4000):
+        for buckets in (1, 2, 3, 4):
+            lengths = rng.integers(0, top, 24)
+            own, counts = np.unique(lengths, return_counts=True)
+            got = packing.best_edges(own.tolist(), counts.tolist(), buckets)
 
-        def padding(edges, lengths=lengths):
-            return sum(min(e for e in edges if e >= n) - n for n in lengths)
+            def padding(edges, lengths=lengths):
+                return sum(min(e for e in edges if e >= n) - n for n in lengths)
 
-        best = min(padding((*c, bins[-1])) for k in range(3) for c in combinations(bins.tolist(), k))
-        assert padding(got) == best and len(got) <= 3
-    assert packing.best_edges([], [], [], 3) == []
+            best = min(padding((*c, own[-1])) for k in range(buckets) for c in combinations(own.tolist(), k))
+            assert padding(got) == best and len(got) <= buckets and set(got) <= set(lengths.tolist())
+    assert packing.best_edges([], [], 3) == [] and packing.best_edges([7], [2], 3) == [7]
+    # Equal choices: the last bucket begins lowest.
+    assert packing.best_edges([1, 2, 3], [1, 1, 1], 2) == [1, 3]
 
 
 def test_packing_stage_counts_tokens(spark):
@@ -283,22 +345,21 @@ def test_packing_stage_counts_tokens(spark):
     assert all(len(b) == 1 or len(b) * b[0].bucket_length <= 16384 for b in batches.values())
 
 
-def test_tight_edges(spark, monkeypatch):
-    """Bucket lengths are lengths that occur, and padding is least over all of them."""
+def test_pack_brute(spark):
+    """Bucket lengths are lengths that occur, and padding is least over all of them; batches keep the budget."""
     rng = np.random.default_rng(4)
     lengths = [int(n) for n in [*rng.integers(1, 4000, 25), 1025, 1025, 5001]]
-    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    rows = spark.createDataFrame([*enumerate(lengths)], "doc_id long, n_tokens long").withColumn("bucket", F.lit(9))
 
     def padding(edges):
         return sum(min(e for e in edges if e >= n) - n for n in lengths)
 
     best = min(padding((*c, max(lengths))) for c in combinations(sorted(set(lengths)), 2))
-    got = packing.pack(rows, buckets=3, tight=True).collect()
+    got = packing.pack(rows, buckets=3, budget=9000).collect()
     assert sum(r.bucket_length - r.n_tokens for r in got) == best
-    monkeypatch.setattr(packing, "LENGTHS", 3)
-    for r in (rest := packing.pack(rows, buckets=3, tight=True).collect()):
-        assert r.bucket_length == max(x.n_tokens for x in rest if x.bucket == r.bucket)
-    assert sum(r.bucket_length - r.n_tokens for r in rest) <= sum(r.bucket_length - r.n_tokens for r in packing.pack(rows, buckets=3).collect())
+    for r in got:
+        own = sorted(x.doc_id for x in got if x.bucket == r.bucket)
+        assert r.batch == own.index(r.doc_id) // max(1, 9000 // r.bucket_length)
 
 
 def test_calls(spark):
@@ -315,13 +376,14 @@ def test_calls(spark):
         (4, 0, "call", "assistant", "a", "f", '{"x": "s"}', None, ["a0"]),
         (4, 1, "call", "assistant", "a", "f", '{"x": "s"}', None, None),
     ]
-    made = chat_format.format_chat(spark.createDataFrame(rows, schema).withColumn("level", F.lit(1)).drop("level"), {"f": {"x": ("string", True), "y": ("number", False)}})
+    made = chat_format.format_chat(spark.createDataFrame(rows, schema).select("*", *(F.lit(1).alias(c) for c in ("level", "calls", "results", "cyclic", "call_turn", "status"))), {"f": {"x": ("string", True), "y": ("number", False)}})
     got = {(r.conv_id, r.turn): r for r in made.collect()}
     assert len(got) == len(rows)
     assert got[1, 0].position > got[1, 1].position and got[1, 2].position > got[1, 0].position
     assert got[1, 0].json == '{"arguments":{"x":"s","y":1.5},"id":"a","name":"f","role":"assistant","type":"call"}' and got[1, 0].errors == []
     assert got[1, 1].errors == ["x: not string", "z: unexpected"] and got[1, 1].status == "unanswered" and got[1, 3].status == "orphan"
     assert got[2, 0].status == got[2, 1].status == "cyclic" and got[2, 0].errors == ["arguments: not an object"] and got[2, 1].errors == ["x: missing"]
+    assert chat_format.format_chat(spark.createDataFrame([], schema), {}).count() == 0
     assert got[3, None].json == '{"content":null,"role":null,"type":"message"}' and got[None, 0].status == "unanswered" and got[4, 0].status == "repeated"
 
 
