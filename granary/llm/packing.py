@@ -19,6 +19,10 @@ from . import token_files
 from .scratch import Scratch, documents, shuffle_partitions
 
 
+#: Words whose ids a worker keeps for counting; the stages before and after share its memory.
+KEPT_WORDS = 400_000
+
+
 def best_edges(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper edges, ascending, of at most `buckets` buckets with the least padding; lengths ascend.
 
@@ -106,7 +110,7 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens): ids that the tokenizer file at `path` gives, as in op8, without an end; 0 for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = token_files.WordEncoder.of(path)
+        encoder = token_files.WordEncoder.of(path, KEPT_WORDS)
         for batch in batches:
             for ids, texts in token_files._slices(batch):
                 sizes = [len(x) // encoder.dtype.itemsize for x in encoder.encode(texts)]

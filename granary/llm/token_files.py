@@ -45,14 +45,14 @@ class Keeper:
     every eighth time all goes, lest a change of texts leave it stale. `known` is a plain dict, which the
     set operations walk quickly."""
 
-    def __init__(self):
+    def __init__(self, keep: int = KEPT_WORDS):
         self.known: dict[str, bytes] = {}
-        self.full = 0
+        self.full, self.keep = 0, keep
 
     def trim(self) -> None:
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > self.keep:
             self.full += 1
-            self.known = {} if self.full % 8 == 0 else dict(islice(self.known.items(), KEPT_WORDS // 2))
+            self.known = {} if self.full % 8 == 0 else dict(islice(self.known.items(), self.keep // 2))
 
 
 class WordEncoder(Keeper):
@@ -61,21 +61,21 @@ class WordEncoder(Keeper):
     and the ids of words are kept from one text to the next; new words are encoded together in
     one text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        super().__init__()
+        super().__init__(keep)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+    def of(cls, path: str, keep: int = KEPT_WORDS) -> WordEncoder:
+        if (path, keep) not in _ENCODERS:
+            _ENCODERS[path, keep] = cls(path, keep)
+        return _ENCODERS[path, keep]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
