@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def flags(neg: Column, strict: Column, permissive: Column, modal: Column, active: Column, passive: Column, obliges: Column, constrains: Column, permits: Column, entitles: Column) -> dict[str, Column]:
     """Four flags from the negation, modals, voice and verb classes of a clause."""
+    # The formulas by which the flags are defined.
     return {
         "obligation": ~neg & ((strict & active) | (strict & obliges) | (~modal & obliges)),
         "constraint": (neg & modal & active) | (~neg & strict & constrains) | (neg & passive & (entitles | permits)),

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Breaks in the order in which they are tried, the least size of a chunk, and how full it must be.
 BREAKS = ("\n\n", "\n", ". ", "; ", ", ", " ")
+FLOOR, FILL = 1000, 0.6
 
 
 def match_spans(patterns: list[str]):
@@ -38,21 +40,22 @@ def match_spans(patterns: list[str]):
 
 
 def chunk(text: str, most: int, overlap: float = 0.0) -> list[tuple[int, int]]:
-    """Spans of at most `most` characters that end at the last break in their last two fifths, if any."""
-    most, overlap = max(1, most), min(max(overlap, 0.0), 0.5)
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + most)
-        if end < len(text):
-            for mark in BREAKS:
-                at = text.rfind(mark, start + int(most * 0.6), end)
-                if at >= 0:
-                    end = at + len(mark)
-                    break
-        out.append((start, end))
-        if end >= len(text):
-            break
-        start = max(start + 1, end - int((end - start) * overlap))
+    """Spans of at most `most` characters, but FLOOR at least, unless the text is no longer than `most`. A span
+    ends behind the last of the first break of BREAKS whose end fills the span to FILL, and the next begins the
+    stated share of `most` before that end, half at most."""
+    size = len(text)
+    if size <= most:
+        return [(0, size)] if size else []
+    most = max(FLOOR, most)
+    back, least = int(most * min(max(overlap, 0.0), 0.5)), int(most * FILL)
+    out, at = [], 0
+    while not out or out[-1][1] < size:
+        stop = min(size, at + most)
+        if stop < size:
+            ends = (text.rfind(mark, at, stop) + len(mark) for mark in BREAKS)
+            stop = next((end for end in ends if end >= at + least), stop)
+        out.append((at, stop))
+        at = stop - back if stop - back > at else stop
     return out
 
 
@@ -69,7 +72,8 @@ def chunks(most: int, overlap: float = 0.0):
 
 def word_error_rate(a: Column, b: Column) -> Column:
     """Word edits to get from a to b over the words of a: words become single characters, so the built-in
-    edit distance counts words. Good for up to 20,000 distinct words a pair."""
+    edit distance counts words. Characters are taken from U+4E00 on in the basic plane but for surrogates and
+    then beyond it, so a pair may have 1,000,000 distinct words."""
     def words(x: Column) -> Column:
         return F.filter(F.split(x, r"\s+"), lambda w: w != "")
 
@@ -77,6 +81,10 @@ def word_error_rate(a: Column, b: Column) -> Column:
     both = F.array_distinct(F.concat(wa, wb))
 
     def coded(ws: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+        def sign(w: Column) -> Column:
+            at = F.array_position(both, w) + 0x4DFF
+            return F.decode(F.unhex(F.lpad(F.hex(F.when(at < 0xD800, at).otherwise(at + 0x2800)), 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(ws, sign), "")
 
     return F.when(F.size(wa) == 0, F.when(F.size(wb) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(coded(wa), coded(wb)) / F.size(wa))

@@ -6,10 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running_start(by: list[str], order: str, size: Column) -> Column:
+    """Where each of consecutive things begins, by the sizes of those before it."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long")
+
+
+def lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, line_no, line, start, end) of all lines of each text, from 0; linear in its length."""
+    rows = docs.select(doc, text, F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select(doc, "_row", F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    start = running_start(["_row"], "line_no", F.length("line") + 1)
+    return rows.select(doc, "line_no", "line", start.alias("start")).withColumn("end", F.col("start") + F.length("line"))
+
+
+def deduped(spans: DataFrame, by: list[str], order: str, start: str = "start", end: str = "end", names: tuple[str, ...] = ("parent", "title", "text")) -> DataFrame:
+    """The first, by `order`, of spans alike: in place where both ends are known, else in their names."""
+    placed = F.col(start).isNotNull() & F.col(end).isNotNull()
+    key = [F.when(placed, F.col(start)), F.when(placed, F.col(end))]
+    key += [F.when(~placed, F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(n), F.lit("")), r"(?U)\s+", " ")))) for n in names]
+    w = Window.partitionBy(*by, *key).orderBy(order)
+    return spans.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+
+
+def coverage(spans: DataFrame, by: list[str], start: str, end: str, size: str) -> DataFrame:
+    """The share of each text that its spans cover, overlaps counted once; null for an empty text."""
+    own = merged(spans.where(F.col(end) > F.col(start)), by, start, end).groupBy(*by).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
+    sizes = spans.groupBy(*by).agg(F.max(size).alias(size))
+    out = sizes.join(own, by, "left").na.fill(0, ["covered"])
+    return out.withColumn("coverage", F.try_divide(F.col("covered").cast("double"), F.col(size)))
+
+
 def page_offsets(pages: DataFrame, doc: str, order: str, text: str, separator: int = 2) -> DataFrame:
     """Each page's span in its document's joined text, whose pages stand `separator` characters apart."""
-    before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(text) + separator).over(before), F.lit(0)).cast("long")
+    start = running_start([doc], order, F.length(text) + separator)
     return pages.withColumn("start", start).withColumn("end", F.col("start") + F.length(text))
 
 

@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables."""
 
-from . import fields, relations, scores, texts
+from . import clauses, fields, relations, scores, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "fields", "relations", "scores", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "clauses", "fields", "relations", "scores", "texts"]

@@ -137,17 +137,23 @@ def q_blocks(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("block")).alias("size"), F.bool_and(placed).alias("placed"))
 
 
+_WORDS = "len(string_split_regex(s, '\\s+'))"
+_SUB = " OR ".join(f"regexp_matches(s, '{p}')" for p in headings.SUB_PATTERNS)
+
+
 @query(f"""
-WITH l AS (SELECT doc_id, {_STRIP.format('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-m AS (SELECT doc_id, regexp_matches(s, '^[A-Z0-9][A-Z0-9\\s,&\\-]{{6,120}}$') AND len(string_split_regex(s, '\\s+')) <= 16 AND regexp_matches(s, '[A-Z]') AND length(s) <= 120 AS all_caps, regexp_extract_all(s, '[A-Za-z][A-Za-z''/-]*') AS names, s FROM l),
+WITH l AS (SELECT doc_id, {_STRIP.format('line')} AS s, {_STRIP.format("regexp_replace(line, '\\s+', ' ', 'g')")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+m AS (SELECT *, regexp_matches(s, '{headings.CAPITALS}') AND {_WORDS} <= 16 AND regexp_matches(s, '[A-Z]') AND length(s) <= 120 AND NOT ends_with(s, '.') AS all_caps, regexp_extract_all(s, '[A-Za-z][A-Za-z''/-]*') AS names FROM l),
 f AS (SELECT *, len(names) BETWEEN 1 AND 14 AND len(list_filter(names, lambda w: regexp_matches(w, '^[A-Z]') AND w <> upper(w))) >= 0.65 * len(names) AND length(s) <= 120 AND NOT ends_with(s, '.') AS title_case,
- regexp_matches(s, '^[A-Za-z]?\\d+(?:\\.\\d+){{0,4}}\\b') AS number, ends_with(s, ':') AND len(string_split_regex(s, '\\s+')) <= 18 AS colon FROM m)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (all_caps) AS all_caps, count(*) FILTER (title_case) AS title_case, count(*) FILTER (number) AS number, count(*) FILTER (colon) AS colon FROM f GROUP BY 1
+ regexp_matches(s, '{headings.NUMBERED}') AS number, ends_with(s, ':') AND {_WORDS} <= 18 AS colon, ends_with(s, '.') AND {_WORDS} <= 10 AS short, regexp_matches(s, '(?i){"|".join(headings.TOP_PATTERNS)}') AS top_pattern, {_SUB} AS sub_pattern,
+ regexp_matches(lower(t), '^(?:{"|".join(headings.TOP_TITLES)})(?: |$)') AS top_title FROM m),
+g AS (SELECT *, length(s) BETWEEN 3 AND 120 AND {_WORDS} <= CASE WHEN contains(s, ',') THEN 18 ELSE 24 END AND NOT ends_with(s, ';') AND (all_caps OR title_case OR number OR colon OR short OR top_pattern OR sub_pattern OR top_title) AS heading FROM f)
+SELECT doc_id, count(*) AS lines, {", ".join(f"count(*) FILTER ({m}) AS {m}" for m in ("all_caps", "title_case", "number", "colon", "short", "top_pattern", "sub_pattern", "top_title", "heading"))} FROM g GROUP BY 1
 """)
 def q_heading_marks(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    marks = headings.heading_marks(F.col("line"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), *(F.count_if(marks[k]).alias(k) for k in ("all_caps", "title_case", "number", "colon")))
+    marks = headings.heading_marks(F.col("line")) | {"heading": headings.heading_like(F.col("line"))}
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), *(F.count_if(c).alias(k) for k, c in marks.items()))
 
 
 @query("""

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import jaccard
+from granary.operators import aggregates
+from granary.sources import sinks
+
 from .registry import Tables, query
 from .scores import r6
 
@@ -36,7 +40,7 @@ def q_dedupe_first(t: Tables) -> DataFrame:
 def q_upsert(t: Tables) -> DataFrame:
     old = t.customer.select("c_custkey", F.lit("old").alias("version"), F.lit(0).cast("long").alias("n"))
     new = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.lit("new").alias("version"), F.count(F.lit(1)).alias("n"))
-    return old.join(new, "c_custkey", "left_anti").unionByName(new)
+    return sinks.upsert(old, new, ["c_custkey"])
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || '-7'), doc_id LIMIT 25")
@@ -96,12 +100,17 @@ def q_doc_union(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT source, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), p AS (SELECT source, unnest(w) AS word, 1.0 / generate_subscripts(w, 1) AS weight FROM x)
-SELECT source, count(DISTINCT word) AS words, count(*) AS uses FROM p GROUP BY 1
+WITH x AS (SELECT source, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), y AS (SELECT source, unnest(w) AS word FROM x), n AS (SELECT source, word, count(*) AS uses FROM y GROUP BY 1, 2),
+r AS (SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY uses DESC, word) AS i FROM n), t AS (SELECT source, i, word, CASE WHEN i % 3 = 0 THEN NULL ELSE i / 40.0 END::DOUBLE AS score FROM r WHERE i <= 30)
+SELECT source, word, round(max(coalesce(score, 1.0 / i)), 6) AS weight FROM t GROUP BY 1, 2
 """)
 def q_cluster_words(t: Tables) -> DataFrame:
+    """The weight of each word of a topic: its highest score, 1/place where the topic gives none."""
     words = t.documents.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    return words.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("uses"))
+    counts = words.groupBy("source", "word").agg(F.count(F.lit(1)).alias("uses"))
+    top = counts.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("uses"), "word"))).where("i <= 30")
+    topics = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("i", "word", F.when(F.col("i") % 3 != 0, F.col("i") / 40).alias("score")))).alias("topic"))
+    return aggregates.word_weights(topics.select("source", "topic.word", "topic.score"), "source", "word", "score").select("source", "word", r6("weight").alias("weight"))
 
 
 @query("SELECT sector, state, sum(n)::BIGINT AS customers FROM (SELECT CASE WHEN n_regionkey <= 1 THEN 'A' ELSE 'B' END AS sector, n_name AS state, 1 AS n FROM customer JOIN nation ON n_nationkey = c_nationkey) GROUP BY 1, 2")
@@ -117,8 +126,6 @@ SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, a.conv_id IS NOT NULL AS in_a,
  round(CASE WHEN len(list_distinct(coalesce(a.w, []) || coalesce(b.w, []))) = 0 THEN 1 ELSE len(list_intersect(coalesce(a.w, []), coalesce(b.w, []))) / len(list_distinct(coalesce(a.w, []) || coalesce(b.w, [])))::DOUBLE END, 6) AS jaccard FROM a FULL JOIN b ON a.conv_id = b.conv_id
 """)
 def q_label_overlap(t: Tables) -> DataFrame:
-    from granary.functions.text import jaccard
-
     words = t.conversations.select("conv_id", "role", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
     sets = words.groupBy("conv_id", "role").agg(F.collect_set("w").alias("w"))
     a = sets.where("role = 'user'").select("conv_id", F.col("w").alias("a"), F.lit(True).alias("in_a"))

@@ -12,7 +12,6 @@ from .registry import Tables, query
 from .scores import r6
 
 
-
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS full_text FROM conversations GROUP BY 1")
 def q_join_pages(t: Tables) -> DataFrame:
     return spans.join_pages(t.conversations, "conv_id", "turn", "text")
@@ -102,19 +101,20 @@ o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER B
 SELECT doc_id, (k - 1)::INT AS line_no, s::BIGINT AS start, (s + length(line))::BIGINT AS "end" FROM o WHERE trim(line) <> ''
 """)
 def q_lines(t: Tables) -> DataFrame:
-    parts = F.split("text", "\n")
-    ends = F.aggregate(parts, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1).cast("bigint")) + 1 + F.length(x))))
-    rows = t.documents.select("doc_id", F.posexplode(F.arrays_zip(parts.alias("line"), ends.alias("stop"))).alias("line_no", "x"))
-    return rows.where(F.trim("x.line") != "").select("doc_id", "line_no", (F.col("x.stop") - F.length("x.line")).alias("start"), F.col("x.stop").alias("end"))
+    return spans.lines(t.documents, "doc_id", "text").where(F.trim("line") != "").select("doc_id", "line_no", "start", "end")
 
 
-@query(r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]+(?:\s+|$)|[^.!?\n]+(?:\n|$)'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13) || chr(12) || chr(11))), lambda x: x <> '') AS m FROM documents)
-SELECT doc_id, len(m)::INT AS n_sentences, coalesce(m[1], '') AS first_one FROM s WHERE len(m) > 1
+_STRIPPED = "list_filter(list_transform({}, lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13) || chr(12) || chr(11))), lambda x: x <> '')"
+_MARKED = _STRIPPED.format(r"regexp_extract_all(text, '[^.!?\n]+[.!?]+(?:\s+|$)|[^.!?\n]+(?:\n|$)')")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, {_MARKED} AS m, {_STRIPPED.format("string_split(coalesce(text, ''), chr(10))")} AS l FROM documents), c AS (SELECT doc_id, CASE WHEN len(m) > 1 THEN m ELSE l END AS m FROM s)
+SELECT doc_id, len(m)::INT AS n_sentences, coalesce(m[1], '') AS first_one FROM c
 """)
 def q_sentence_split(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "text", tx.sentences(F.col("text")).alias("m"), F.regexp_count("text", F.lit(r"[.!?\n]")).alias("marks"))
-    return rows.where("size(m) > 1").select("doc_id", F.size("m").alias("n_sentences"), F.coalesce(F.get("m", F.lit(0)), F.lit("")).alias("first_one"))
+    rows = t.documents.select("doc_id", tx.sentences(F.coalesce("text", F.lit(""))).alias("m"))
+    return rows.select("doc_id", F.size("m").alias("n_sentences"), F.coalesce(F.get("m", F.lit(0)), F.lit("")).alias("first_one"))
 
 
 @query(f"""
@@ -246,13 +246,15 @@ def q_json_fields(t: Tables) -> DataFrame:
 
 
 @query(r"""
-SELECT b.item_id, d.doc_id, (instr(lower(d.text), lower(b.text)) - 1)::INT AS start, substr(d.text, greatest(1, instr(lower(d.text), lower(b.text)) - 30), 60) AS context FROM benchmark b JOIN documents d ON instr(lower(d.text), lower(b.text)) > 0
+WITH h AS (SELECT b.item_id, d.doc_id, d.text, CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) ELSE instr(lower(d.text), lower(b.text)) END AS p FROM benchmark b JOIN documents d ON instr(lower(d.text), lower(b.text)) > 0)
+SELECT item_id, doc_id, (p - 1)::INT AS start, substr(text, greatest(1, p - 30), 60) AS context FROM h
 """)
 def q_find_span(t: Tables) -> DataFrame:
     items = t.benchmark.select("item_id", F.col("text").alias("part"))
     hits = t.documents.select("doc_id", "text").join(F.broadcast(items), F.instr(F.lower("text"), F.lower("part")) > 0)
-    start = F.instr(F.lower("text"), F.lower("part")) - 1
-    return hits.select("item_id", "doc_id", start.alias("start"), F.substring("text", F.greatest(F.lit(1), start - 29), F.lit(60)).alias("context"))
+    start = F.col("start")
+    rows = hits.select("item_id", "doc_id", "text", tx.span_of(F.col("text"), F.col("part")).alias("start"))
+    return rows.select("item_id", "doc_id", "start", F.substring("text", F.greatest(F.lit(1), start - 29), F.lit(60)).alias("context"))
 
 
 @query()

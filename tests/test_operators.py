@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,10 +56,32 @@ def test_spans(spark):
     assert [tuple(v) for v in first] == [(0, 5)] and [tuple(v) for v in longer] == [(3, 10)]
 
 
+def plain_chunks(text, most, overlap):
+    """Every place behind a break tried one by one."""
+    if len(text) <= most:
+        return [(0, len(text))] if text else []
+    most, share, out, start = max(1000, most), min(0.5, overlap), [], 0
+    while True:
+        end = min(len(text), start + most)
+        if end < len(text):
+            for mark in ("\n\n", "\n", ". ", "; ", ", ", " "):
+                places = [k + len(mark) for k in range(start, end - len(mark) + 1) if text[k : k + len(mark)] == mark]
+                if places and places[-1] - start >= int(most * 0.6):
+                    end = places[-1]
+                    break
+        out.append((start, end))
+        if end == len(text):
+            return out
+        start = end - int(most * share) if end - int(most * share) > start else end
+
+
 def test_chunks(spark):
-    text = "one two. three four five; six seven eight nine ten eleven"
-    got = chunks.chunk(text, 20)
-    assert got[0][0] == 0 and got[-1][1] == len(text) and all(b - a <= 20 for a, b in got) and all(x[1] == y[0] for x, y in zip(got, got[1:]))
+    rng = random.Random(3)
+    for most, overlap in [(1000, 0.0), (1000, 0.1), (1500, 0.3), (200, 0.9), (3000, 0.2)]:
+        for _ in range(40):
+            text = "".join(rng.choice(["word", "x" * rng.randint(1, 400), "\n\n", "\n", ". ", "; ", ", ", " "]) for _ in range(rng.randint(0, 120)))
+            assert chunks.chunk(text, most, overlap) == plain_chunks(text, most, overlap)
+    assert chunks.chunk("a b" * 100, 400) == [(0, 300)] and chunks.chunk("", 5) == []
     r = spark.createDataFrame([("a b c", "a x c")], "a string, b string").select(chunks.word_error_rate(F.col("a"), F.col("b"))).first()[0]
     assert r == pytest.approx(1 / 3)
     r = spark.createDataFrame([("ab ab",), (None,)], "t string").select(chunks.match_spans(["ab", "(", "b a"])(F.col("t"))).collect()
