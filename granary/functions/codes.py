@@ -14,6 +14,16 @@ STATES = {
     32: "NV", 33: "NH", 34: "NJ", 35: "NM", 36: "NY", 37: "NC", 38: "ND", 39: "OH", 40: "OK", 41: "OR", 42: "PA", 44: "RI", 45: "SC", 46: "SD",
     47: "TN", 48: "TX", 49: "UT", 50: "VT", 51: "VA", 53: "WA", 54: "WV", 55: "WI", 56: "WY", 60: "AS", 66: "GU", 69: "MP", 72: "PR", 78: "VI",
 }
+#: Names of states by their postal abbreviations.
+STATE_NAMES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware",
+    "DC": "District of Columbia", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa",
+    "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota",
+    "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey", "NM": "New Mexico",
+    "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island",
+    "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia", "WA": "Washington",
+    "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
+}
 #: Two-digit industry sectors.
 SECTORS = {
     11: "Agriculture, Forestry, Fishing and Hunting",
@@ -86,3 +96,16 @@ def year_of(x: Column) -> Column:
     days = F.when(n <= 80000, F.year(F.date_add(F.to_date(F.lit("1960-01-01")), n)))
     y = F.coalesce(dated, american, days)
     return F.when(y.between(1900, 2100), y)
+
+
+def state_name(code: Column) -> Column:
+    """A state's name from its number of one or two digits; anything else stays as it is."""
+    t = strip(code.cast("string"))
+    names = {n: STATE_NAMES[a] for n, a in STATES.items() if a in STATE_NAMES}
+    return F.coalesce(F.when(t.rlike(r"^\d{1,2}$"), _lookup(names, t.try_cast("int"))), t)
+
+
+def sector_code(code: Column) -> Column:
+    """The first two digits of an industry code, other signs left out; null without two."""
+    digits = F.regexp_replace(code.cast("string"), r"\D", "")
+    return F.when(F.length(digits) >= 2, F.left(digits, F.lit(2)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = " \n\t\r\f\x0b"
+#: All white space of Unicode, with the four separators of ASCII.
+SPACES = " \n\t\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
@@ -144,3 +145,81 @@ def front_matter(x: Column) -> Column:
         .when(F.size(parts) == 3, F.struct(meta.alias("meta"), strip(F.get(parts, F.lit(2))).alias("body")))
         .otherwise(F.struct(none.alias("meta"), strip(x).alias("body")))
     )
+
+
+def segment_id(document: Column, number: Column) -> Column:
+    return F.concat(document, F.lit("::segment_"), number.cast("string"))
+
+
+def _first_said(*columns: Column) -> Column:
+    """The first that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
+
+
+def shown_label(labels: Column, extractions: Column, default: str = "OTHER") -> Column:
+    """The first of the labels, the default if it is blank; where that is the default, what the first
+    extraction(label, feature_name, raw_label) names."""
+    first = F.coalesce(F.nullif(strip(F.get(labels, F.lit(0))), F.lit("")), F.lit(default))
+    named = F.get(extractions, F.lit(0))
+    other = strip(_first_said(named["label"], named["feature_name"], named["raw_label"]))
+    return F.when(first != default, first).otherwise(F.coalesce(F.nullif(other, F.lit("")), F.lit(default)))
+
+
+def flat_candidates(candidates: Column) -> Column:
+    """Candidates(feature_name, label, raw_label, similarity, tldr, description) by one name each; nameless ones go."""
+    def flat(c: Column) -> Column:
+        name = strip(F.coalesce(_first_said(c["feature_name"], c["label"], c["raw_label"]), F.lit("")))
+        texts = [strip(F.coalesce(c[k], F.lit(""))).alias(k) for k in ("tldr", "description")]
+        return F.struct(name.alias("feature_name"), c["similarity"].cast("string").try_cast("double").alias("similarity"), *texts)
+
+    return F.filter(F.transform(F.coalesce(candidates, F.array().cast(candidates_type())), flat), lambda c: c["feature_name"] != "")
+
+
+def candidates_type() -> str:
+    return "array<struct<feature_name:string,label:string,raw_label:string,similarity:string,tldr:string,description:string>>"
+
+
+def document_of_file(x: Column) -> Column:
+    """The document that a file number or name tells: the number, without its fraction, or the first run of digits."""
+    t = strip(x.cast("string"))
+    digits = F.nullif(F.regexp_extract(t, r"(\d+)", 1), F.lit("")).try_cast("long")
+    return F.concat(F.lit("document_"), F.coalesce(t.try_cast("double").cast("long"), digits).cast("string"))
+
+
+def document_title(employer: Column, union: Column) -> Column:
+    names = [F.coalesce(F.nullif(strip(c), F.lit("")), F.lit(d)) for c, d in ((employer, "Employer"), (union, "Union"))]
+    return F.concat_ws(" v ", *names)
+
+
+def number_or(x: Column, kind: str, default: float | int | None = None) -> Column:
+    """A whole or other number out of a loosely typed value, else the default."""
+    value = strip(x.cast("string")).try_cast("double")
+    value = F.when(~F.isnan(value), value)
+    return F.coalesce(value.cast(kind), F.lit(default).cast(kind))
+
+
+def json_scores(x: Column) -> Column:
+    """The scores of a JSON list of objects with name, score and reason; nameless ones go, and what is no list is empty."""
+    kind = "array<struct<name:string,score:string,reason:string>>"
+    listed = F.coalesce(F.from_json(x, kind), F.array().cast(kind))
+    named = F.filter(listed, lambda s: F.coalesce(strip(s["name"]), F.lit("")) != "")
+    return F.transform(named, lambda s: F.struct(strip(s["name"]).alias("name"), number_or(s["score"], "double").alias("score"), F.coalesce(s["reason"], F.lit("")).alias("reason")))
+
+
+def keyword_counts(x: Column, aliases: list[str]) -> tuple[Column, Column]:
+    """How often each alias occurs as whole words in any case, and how often any does, where aliases that
+    overlap count once."""
+    low = F.coalesce(x, F.lit(""))
+    each = F.array(*(F.regexp_count(low, F.lit(rf"(?i)\b(?:{a})\b")).cast("long") for a in aliases))
+    longest = sorted(aliases, key=len, reverse=True)
+    return each, F.regexp_count(low, F.lit(rf"(?i)\b(?:{'|'.join(longest)})\b")).cast("long")
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded with halves to the even digit."""
+    return F.bround(x, digits)
+
+
+def prototype_text(*parts: Column) -> Column:
+    """The parts that are not blank, a line each."""
+    return F.concat_ws("\n", *(F.nullif(strip(p), F.lit("")) for p in parts))

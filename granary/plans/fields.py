@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import codes, rubric
 from granary.functions import text as tx
-from granary.operators import chunks, graphs, headings, spans
+from granary.operators import chunks, graphs, headings, ranks, spans
 
 from .registry import Tables, query
 from .scores import r6
@@ -108,7 +108,7 @@ WITH a AS (SELECT l_partkey AS page, round(1 - sum(round(l_discount * 100)::BIGI
 """)
 def q_agreement(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy(F.col("l_partkey").alias("page")).agg(F.round(1 - F.sum(F.round(F.col("l_discount") * 100).cast("long") + F.round(F.col("l_tax") * 100).cast("long")) / (200.0 * F.count(F.lit(1))), 12).alias("score"))
-    return rows.withColumn("place", F.rank().over(Window.orderBy(F.desc("score")))).withColumn("agreed", F.col("score") > 0.95)
+    return ranks.placed(rows, "place", F.desc("score"), ties=True).withColumn("agreed", F.col("score") > 0.95)
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import jaccard
-from granary.operators import aggregates
+from granary.operators import aggregates, ranks
 from granary.sources import sinks
 
 from .registry import Tables, query
@@ -96,7 +96,8 @@ def q_page_doc_freq(t: Tables) -> DataFrame:
 def q_doc_union(t: Tables) -> DataFrame:
     a = t.documents.select("doc_id", F.col("n_chars").alias("a_n"))
     b = t.events.groupBy(F.col("user_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("b_n"))
-    return a.join(b, "doc_id", "full_outer").withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("a_n", F.lit(0)).desc(), "doc_id"))).na.fill(-1, ["a_n", "b_n"])
+    both = a.join(b, "doc_id", "full_outer").withColumn("shown", F.coalesce("a_n", F.lit(0)))
+    return ranks.placed(both, "place", F.desc("shown"), F.asc("doc_id")).drop("shown").na.fill(-1, ["a_n", "b_n"])
 
 
 @query("""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import stats
 from granary.functions import text as tx
+from granary.operators import ranks
 
 from .registry import Tables, query
 
@@ -147,7 +147,7 @@ def q_min_rank_weighted(t: Tables) -> DataFrame:
     out = clause.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("clauses"), F.sum("ranked").alias("segments"), r6(F.try_divide(F.sum(F.col("mean_score") * F.col("ranked")), F.sum("ranked"))).alias("weighted"), r6(F.avg("mean_rank")).alias("unweighted")
     )
-    return out.withColumn("place", F.rank().over(Window.orderBy(F.desc("weighted"))))
+    return ranks.placed(out, "place", F.desc("weighted"), ties=True)
 
 
 @query("""
@@ -236,26 +236,12 @@ def q_correlations(t: Tables) -> DataFrame:
     )
 
 
-def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Kendall's tau-b in n log n: pairs out of order are counted by a merge."""
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    n = len(x)
-
-    def ties(*columns: np.ndarray) -> int:
-        return int(sum(c * (c - 1) // 2 for c in pd.DataFrame(dict(enumerate(columns))).value_counts()))
+def kendalls(t: Tables) -> DataFrame:
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        tau, p = stats.kendall(rows.x.to_numpy(), rows.y.to_numpy())
+        return pd.DataFrame({"c_nationkey": [key[0]], "tau": [tau], "p": [p]}).astype({"tau": "float64", "p": "float64"})
 
-    swaps, width, rank = 0, 1, np.unique(y, return_inverse=True)[1]
-    while width < n:
-        merged = rank.copy()
-        for a in range(0, n - width, 2 * width):
-            left, right = rank[a : a + width], rank[a + width : a + 2 * width]
-            swaps += int((len(left) - np.searchsorted(left, right, "right")).sum())
-            merged[a : a + 2 * width] = np.sort(rank[a : a + 2 * width], kind="stable")
-        rank, width = merged, 2 * width
-    total, tx_, ty, both = n * (n - 1) // 2, ties(x), ties(y), ties(x, y)
-    scale = float(total - tx_) * float(total - ty)
-    return (total - tx_ - ty + both - 2 * swaps) / scale**0.5 if scale > 0 else None
+    return pairs(t).groupBy("c_nationkey").applyInPandas(one, "c_nationkey int, tau double, p double")
 
 
 @query(f"""
@@ -263,12 +249,12 @@ WITH p AS ({_PAIRS}) SELECT a.c_nationkey, round(sum(sign(a.x - b.x) * sign(a.y
 FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY 1
 """)
 def q_corr_kendall(t: Tables) -> DataFrame:
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        tau = tau_b(rows.x.to_numpy(), rows.y.to_numpy()) if len(rows) > 1 else None
-        return pd.DataFrame({"c_nationkey": [key[0]], "tau": [tau]}).astype({"tau": "float64"})
+    return kendalls(t).select("c_nationkey", F.round(F.nanvl("tau", F.lit(None)), 6).alias("tau"))
+
 
-    found = pairs(t).groupBy("c_nationkey").applyInPandas(one, "c_nationkey int, tau double")
-    return found.select("c_nationkey", F.round(F.nanvl("tau", F.lit(None)), 6).alias("tau"))
+@query()
+def q_kendall_p(t: Tables) -> DataFrame:
+    return kendalls(t).select("c_nationkey", F.round(F.nanvl("tau", F.lit(None)), 6).alias("tau"), F.round(F.nanvl("p", F.lit(None)), 6).alias("p"))
 
 
 @query("""
@@ -280,9 +266,9 @@ def q_rank_compare(t: Tables) -> DataFrame:
     counts = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("s1"))
     means = t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("s2"))
     rows = t.customer.select(F.col("c_custkey").alias("k")).join(counts, F.col("k") == F.col("o_custkey")).drop("o_custkey").join(means, F.col("k") == F.col("o_custkey"))
-    rows = rows.select("k", F.rank().over(Window.orderBy(F.desc("s1"))).alias("r1"), F.rank().over(Window.orderBy(F.desc("s2"))).alias("r2"))
-    rows = rows.withColumn("mean_rank", (F.col("r1") + F.col("r2")) / 2.0)
-    return rows.withColumn("place", F.rank().over(Window.orderBy("mean_rank"))).withColumn("displacement", F.col("r1") - F.col("r2"))
+    rows = ranks.placed(ranks.placed(rows, "r1", F.desc("s1"), ties=True), "r2", F.desc("s2"), ties=True)
+    rows = rows.select("k", "r1", "r2", ((F.col("r1") + F.col("r2")) / 2.0).alias("mean_rank"))
+    return ranks.placed(rows, "place", F.asc("mean_rank"), ties=True).withColumn("displacement", F.col("r1") - F.col("r2"))
 
 
 @query("""
