@@ -14,8 +14,10 @@ BREAKS = ("\n\n", "\n", ". ", "; ", ", ", " ")
 FLOOR, FILL = 1000, 0.6
 
 
-def match_spans(patterns: list[str]):
-    """A function of a text column to its non-overlapping matches, earlier first; invalid patterns are left out."""
+def match_spans(patterns: list[str], overlapping: bool = False, otherwise: str | None = None):
+    """A function of a text column to the matches of patterns, earlier first; invalid patterns are left out.
+    Matches do not overlap, or with `overlapping` are all distinct ones; `otherwise` is a pattern for texts in
+    which none matches."""
     good = []
     for p in patterns:
         try:
@@ -24,8 +26,13 @@ def match_spans(patterns: list[str]):
             continue
 
     def spans(text: str | None) -> list[dict]:
+        found = sorted({m.span() for p in good for m in p.finditer(text or "")})
+        if not found and otherwise:
+            found = [m.span() for m in re.finditer(otherwise, text or "")]
+        if overlapping:
+            return [{"start": a, "end": b} for a, b in found]
         out, end = [], 0
-        for a, b in sorted(m.span() for p in good for m in p.finditer(text or "")):
+        for a, b in found:
             if a >= end and b > a:
                 out.append({"start": a, "end": b})
                 end = b

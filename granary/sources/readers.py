@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.text import strip
+
 
 def texts(spark: SparkSession, root: str, names: str) -> DataFrame:
     """(path, value) of the text files below a folder, to the last byte; what is not UTF-8 is replaced."""
@@ -12,13 +16,30 @@ def texts(spark: SparkSession, root: str, names: str) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("value"))
 
 
-def page_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(document_id, page_number, text) of root/document_*/page_*.txt, text as it stands."""
+#: The page number of a file whose name has none, behind all others.
+NO_PAGE = 10**9
+
+
+def page_tree(spark: SparkSession, root: str, all_names: bool = False) -> DataFrame:
+    """(document_id, page_number, text) of root/document_*/page_*.txt, text as it stands; files whose names have
+    no number are left out, or with `all_names` come last."""
     files, path = texts(spark, root, "page_*.txt"), F.col("path")
-    rows = files.select(F.regexp_extract(path, r"([^/]+)/page_\d+\.txt$", 1).alias("document_id"), F.regexp_extract(path, r"page_(\d+)\.txt$", 1).try_cast("int").alias("page_number"), F.col("value").alias("text"))
+    number = F.regexp_extract(path, r"page_(\d+)\.txt$", 1).try_cast("int")
+    rows = files.select(F.regexp_extract(path, r"([^/]+)/page_[^/]*\.txt$", 1).alias("document_id"), (F.coalesce(number, F.lit(NO_PAGE)) if all_names else number).alias("page_number"), F.col("value").alias("text"))
     return rows.where("document_id <> '' and page_number is not null")
 
 
+def stripped_pages(pages: DataFrame) -> DataFrame:
+    """Pages without white space at their ends; empty ones go."""
+    return pages.withColumn("text", strip(F.col("text"))).where("text <> ''")
+
+
+def document_folders(pages: DataFrame) -> DataFrame:
+    """(document_id, number) of the documents of a tree whose folders are named document_n, to be sorted by number."""
+    number = F.regexp_extract("document_id", r"^document_(\d+)$", 1).try_cast("long")
+    return pages.select("document_id", number.alias("number")).where("number is not null").distinct()
+
+
 def segment_tree(spark: SparkSession, root: str) -> DataFrame:
     """(document_id, segment_number, text) of segment_*.txt beside or one folder below a document."""
     files, path = texts(spark, root, "segment_*.txt"), F.col("path")
@@ -31,6 +52,21 @@ def json_rows(spark: SparkSession, path: str, schema: str, lines: bool = True) -
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", not lines).json(path)
 
 
+def json_objects(spark: SparkSession, root: str, names: str, schema: str) -> DataFrame:
+    """(path, and the fields of schema) of files below a folder that hold one JSON object each; others are left out."""
+    files = texts(spark, root, names).withColumn("_v", F.try_parse_json("value"))
+    whole = files.where(F.coalesce(F.schema_of_variant("_v").startswith("OBJECT<"), F.lit(False)))
+    return whole.select("path", F.from_json("value", schema).alias("_row")).select("path", "_row.*")
+
+
+def with_legacy(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """The rows with each new name, filled from its older names where it is null or not there."""
+    for new, older in names.items():
+        have = [F.col(f"`{c}`") for c in (new, *older) if c in rows.columns]
+        rows = rows.withColumn(new, F.coalesce(*have) if have else F.lit(None).cast("string")).drop(*(c for c in older if c != new))
+    return rows
+
+
 def csv_rows(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """CSV with a header, quotes doubled and line feeds in quotes; columns are cast, to null where they cannot be."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -38,11 +74,17 @@ def csv_rows(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFra
     return rows.select(*have)
 
 
-def stata_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A Stata file, read on the driver: these are metadata tables of some thousand rows."""
+def stata_rows(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """The first that is there of a folder's Stata files, or the file `root` itself. It is parsed on the driver:
+    these are metadata tables of some thousand rows."""
     import pandas as pd
 
-    return spark.createDataFrame(pd.read_stata(path, convert_categoricals=False))
+    files = spark.read.format("binaryFile")
+    for name in names or (None,):
+        found = (files.option("pathGlobFilter", name) if name else files).load(root).select("content").take(1)
+        if found:
+            return spark.createDataFrame(pd.read_stata(io.BytesIO(found[0][0]), convert_categoricals=False))
+    raise FileNotFoundError(f"none of {', '.join(names)} in {root}")
 
 
 def taxonomy(text: str) -> list[dict[str, str]]:
@@ -62,6 +104,28 @@ def taxonomy(text: str) -> list[dict[str, str]]:
     return [*out, {"name": "OTHER", "tldr": "", "description": ""}]
 
 
+def taxonomy_details(text: str) -> list[dict]:
+    """Entries (name, tldr, description, details) of the same list; details are the lines that begin with a dash,
+    and so also a heading that is struck out by dashes, below the entry before it."""
+    out, name = [], None
+    details: dict[int, list[str]] = {}
+    for line in map(str.strip, text.splitlines()):
+        if line.startswith("### "):
+            name = len(details)
+            details[name] = []
+        elif name is not None and line.startswith("-"):
+            details[name].append(line.lstrip("-").strip())
+    plain = "\n".join(x for x in text.splitlines() if not x.strip().startswith("-"))
+    for k, entry in enumerate(taxonomy(plain)[:-1]):
+        out.append({**entry, "details": details[k]})
+    return out
+
+
+def feature_names(text: str) -> list[str]:
+    """The names of the list's entries, without their numbers."""
+    return [e["name"] for e in taxonomy(text)[:-1]]
+
+
 def feature_rows(listed: DataFrame, paged: DataFrame) -> DataFrame:
     """Distinct (document_id, document_page, feature_name) of two forms: rows with those columns, and rows
     (id, features) whose id reads document_n_page_m; rows without a feature or page go."""
