@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, documents
+from .scratch import Scratch, documents, join_groups
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A cut falls after a word of odd last letter and the first two letters of the next, 256 characters after
@@ -53,7 +53,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         recipes = resolved(cut, collided)
     recipes = scratch.table(recipes, "recipes")
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # Empty texts, or a text that a third of all rows have, are one recipe: its rows are dealt to many tasks.
+    found = join_groups(recipes, scratch.table(groups, "groups"), "recipe", "group_size", "doc_id")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def resolved(cut: DataFrame, collided: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .scratch import Scratch, documents, shuffle_partitions
+from .scratch import Scratch, documents, join_groups, shuffle_partitions
 
 BLOCK = 1 << 20
 #: One-bit hashes of a class, in so many longs: a bit of each of the first hashes' least values, mixed.
@@ -246,9 +246,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     # Bands that hold more than one class. XOR with the key is undone by another, so the least XOR names a class.
     banded = classes.select("rid", "sig").mapInArrow(_banded(bands, rows), "key long, rid long")
     mixed = F.col("rid").bitwiseXOR(F.col("key"))
-    leads = banded.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.min(mixed).alias("other")).where("lead < last")
-    leads = leads.select("key", "lead", F.col("other").bitwiseXOR(F.col("key")).alias("other"))
-    shared = scratch.table(banded.join(leads, "key"), "shared")
+    leads = banded.groupBy("key").agg(F.min("rid").alias("lead"), F.max("rid").alias("last"), F.min(mixed).alias("other"), F.count(F.lit(1)).alias("members")).where("lead < last")
+    leads = scratch.table(leads.select("key", "lead", F.col("other").bitwiseXOR(F.col("key")).alias("other"), "members"), "leads")
+    shared = scratch.table(join_groups(banded, leads, "key", "members", "rid").drop("members"), "shared")
+    scratch.drop(leads)
     sigs = classes.join(shared.select("rid").distinct(), "rid").select("rid", "n", "sig", *SKETCH)
     sigs = scratch.table(sigs, "sigs")
     texts = docs.join(sigs.select("rid", "sig"), docs.doc_id == sigs.rid).select("rid", "text", "sig")

@@ -8,6 +8,10 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A group of this fraction of all rows is hot.
+SHARE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +71,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """rows.join(groups, key), in which no group of many rows is one task.
+
+    groups(key, size, ...) is a table with a row for each group and the number of its rows. Groups of a SHARE-th
+    of all rows or more, of which there can be no more than SHARE, are salted: their rows are dealt by a hash of
+    the column `spread` to as many parts as their share of the partitions, and their row is copied to each, so
+    there are fewer copies than partitions and such groups together. What is broadcast is a hash and a number
+    for each of them.
+    """
+    spark = rows.sparkSession
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    parts = F.ceil(F.col(size) * F.lit(float(shuffle_partitions(spark))) / F.lit(max(1.0, float(total)))).cast("long")
+    sized = groups.withColumn("_parts", F.when(F.col(size) * SHARE >= total, parts).otherwise(1))
+    hot = sized.where("_parts > 1").groupBy(F.xxhash64(key).alias("_hash")).agg(F.max("_parts").alias("_parts"))
+    dealt = rows.withColumn("_hash", F.xxhash64(key)).join(F.broadcast(hot), "_hash", "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(spread, F.lit(3)), F.coalesce("_parts", F.lit(1)))).drop("_hash", "_parts")
+    copies = sized.withColumn("_hash", F.xxhash64(key)).drop("_parts").join(F.broadcast(hot), "_hash", "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hash", "_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

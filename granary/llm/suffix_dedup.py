@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .scratch import Scratch, documents, shuffle_partitions
+from .scratch import Scratch, documents, join_groups, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 WINDOWS = LENGTH - GRAM + 1
@@ -452,8 +452,9 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("tid", F.xxhash64("text"))
     long = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     marks = scratch.table(long.select("doc_id", "tid", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("n")), "marks")
-    reps = marks.groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    copies = scratch.table(marks.join(reps, "sha").where("doc_id > rep").select("doc_id", "tid").distinct(), "copies")
+    reps = marks.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    reps = scratch.table(reps.where("last > rep").select("sha", "rep", "rows"), "reps")
+    copies = scratch.table(join_groups(marks, reps, "sha", "rows", "doc_id").where("doc_id > rep").select("doc_id", "tid").distinct(), "copies")
     size = marks.agg(F.sum("n")).first()[0] or 0
     parts = shuffle_partitions(spark)
 

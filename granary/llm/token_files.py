@@ -14,7 +14,8 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from itertools import islice
 from pathlib import Path
@@ -148,12 +149,14 @@ class TokenFiles:
 def write_tokens(docs: DataFrame, root: str, tokenizer: str, end: int | None = None) -> TokenFiles:
     """Encode docs(doc_id, text) in ascending doc_id order into files under `root`, a URI all tasks reach.
 
-    Null texts count as empty; a null id comes first; rows that repeat an id stand in the order of their
-    texts. `end` is appended to every document. Other columns are ignored.
+    Null texts count as empty; a null id comes first; rows that repeat an id stand in the order of a hash of
+    their texts. `end` is appended to every document. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # By a hash of the text too, so that rows which repeat an id need not be one task.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "text")
     found = rows.mapInArrow(_written(root, tokenizer, end), "part long, file string, n_docs long, n_ids long, dtype string").collect()
     parts, n_docs, n_ids = [], 0, 0
     for r in sorted(found, key=lambda r: r.part):
@@ -174,29 +177,32 @@ def open_tokens(root: str) -> TokenFiles:
         return TokenFiles(**json.loads(stream.read()))
 
 
-def mapped(root: str, name: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the store is a file system of this machine, else read."""
+@contextmanager
+def mapped(root: str, name: str, dtype: str) -> Iterator[Callable[[int, int], np.ndarray]]:
+    """A function to the values from one place to another of a file: memory-mapped where the store is a file
+    system of this machine, else read from there as they are asked for."""
     store, base = fs.FileSystem.from_uri(root)
-    path = f"{base}/{name}"
+    path, size = f"{base}/{name}", np.dtype(dtype).itemsize
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with store.open_input_file(path) as stream:
-        return np.frombuffer(stream.read(), dtype)
+        whole = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        yield lambda a, b: whole[a:b]
+    else:
+        with store.open_input_file(path) as stream:
+            yield lambda a, b: np.frombuffer(stream.read_at((b - a) * size, a * size), dtype)
 
 
-def _read(root: str, dtype: str):
+def _read(root: str, dtype: str, rows: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs, at, ids = mapped(root, f"{name}.docs", "<i8"), mapped(root, f"{name}.offsets", "<i8"), mapped(root, f"{name}.ids", dtype)
-                for k in range(0, len(docs), 4096):
-                    n = min(4096, len(docs) - k)
-                    crc = [zlib.crc32(ids[at[i] : at[i + 1]].astype("<u4").tobytes()) for i in range(k, k + n)]
-                    some = np.array(docs[k : k + n])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, mask=some == NO_ID), pa.array(at[k : k + n] + base), pa.array(np.diff(at[k : k + n + 1])), pa.array(crc, pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+            for name, base, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                with mapped(root, f"{name}.docs", "<i8") as docs, mapped(root, f"{name}.offsets", "<i8") as offsets, mapped(root, f"{name}.ids", dtype) as ids:
+                    for k in range(0, n, rows):
+                        some, at = np.array(docs(k, min(n, k + rows))), np.array(offsets(k, min(n, k + rows) + 1))
+                        crc = [zlib.crc32(np.asarray(ids(a, b)).astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(some, mask=some == NO_ID), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
 
     return run
 
@@ -204,8 +210,8 @@ def _read(root: str, dtype: str):
 def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: where each document's ids start among all,
     how many there are, and their CRC-32 as little-endian unsigned 32-bit integers."""
-    rows = [(p["file"], p["base"]) for p in files.parts]
-    parts = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
+    rows = [(p["file"], p["base"], p["n_docs"]) for p in files.parts]
+    parts = spark.createDataFrame(rows, "file string, base long, n_docs long").repartition(max(1, len(rows)))
     return parts.mapInArrow(_read(files.root, files.dtype), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import bytesops as B
 from granary.llm import chat_format, components, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, registry, suffix_dedup, token_counts, token_files
-from granary.llm.scratch import Scratch
+from granary.llm.scratch import Scratch, join_groups
 
 ROWS = [(1, None), (2, ""), (3, "a"), (4, "A"), (None, "a b c d e f g h i j k l"), (5, "x " * 30_000), (5, "x " * 30_000), (6, "  \n\n "), (7, None), (8, "One two. Three é\n four"), (9, "a b c d e f g h i j k l")]
 #: Names that the operators use themselves.
@@ -264,6 +264,16 @@ def test_components(spark, monkeypatch):
     assert components.connected_components(frame.limit(0), Scratch(spark)).count() == 0
 
 
+def test_hot_groups(spark):
+    """A group of most rows is dealt to many tasks and joins as any other; keys may be arrays or null-free binaries."""
+    rows = spark.range(2000).select("id", F.array(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id"))).alias("k"))
+    groups = Scratch(spark).table(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")), "groups")
+    got = join_groups(rows, groups, "k", "n", "id")
+    assert sorted(got.columns) == ["id", "k", "least", "n"] and got.count() == 2000
+    assert sorted(tuple(r) for r in got.select("id", "least").collect()) == sorted(tuple(r) for r in rows.join(groups, "k").select("id", "least").collect())
+    assert join_groups(rows.limit(0), groups.limit(0), "k", "n", "id").count() == 0
+
+
 def test_token_files(spark, data):
     from tokenizers import Tokenizer
 
