@@ -274,11 +274,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b", "x", "y")
         return scratch.table(both.mapInArrow(_verified(least, step, percent), "a long, b long"), "links")
 
+    def in_mixed(rows: DataFrame, part: str) -> DataFrame:
+        """The rows of the bands whose rows differ in `part`."""
+        sizes = rows.groupBy("key").agg(F.min(part).alias("lo"), F.max(part).alias("hi"), F.count(F.lit(1)).alias("members"))
+        mixed = scratch.table(sizes.where("lo < hi").select("key", "members"), "mixed")
+        return join_groups(rows, mixed, "key", "members", "rid").drop("members")
+
     def placed(comps: DataFrame) -> DataFrame:
         """The rows of bands that are in more than one component, with the component of each."""
         rows = shared.join(comps, shared.rid == comps.id, "left").select("key", "rid", "other", F.coalesce("comp", "rid").alias("comp"))
-        apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return rows.join(apart, "key")
+        return in_mixed(scratch.table(rows, "placed"), "comp")
 
     def led(rows: DataFrame, leader: str) -> DataFrame:
         return rows.where(F.col("rid") != F.col(leader)).select(F.least("rid", leader).alias("a"), F.greatest("rid", leader).alias("b")).distinct()
@@ -296,8 +301,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     rest = placed(comps).join(hoods, F.col("rid") == hoods.id, "left").select("key", "rid", "comp", F.coalesce("hood", "rid").alias("hood"))
     rest = scratch.table(rest, "apart")
     # Across neighbourhoods: by pairs of a band.
-    wide = rest.groupBy("key").agg(F.min("hood").alias("lo"), F.max("hood").alias("hi")).where("lo < hi").select("key")
-    wide = rest.join(wide, "key").join(sigs.select("rid", "n", *SKETCH), "rid")
+    wide = in_mixed(rest, "hood").join(sigs.select("rid", "n", *SKETCH), "rid")
     left, right = (wide.select("key", F.col("rid").alias(k), F.col("hood").alias(f"hood_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("n", *SKETCH))) for k in "ab")
     pairs = left.join(right, (left.key == right.key) & F.expr("a < b and hood_a <> hood_b") & alike()).select("a", "b").distinct()
     across = confirmed(pairs)

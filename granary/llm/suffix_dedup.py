@@ -20,11 +20,13 @@ Exact copies of a text are settled by their digest: all their windows start in t
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -359,16 +361,30 @@ def first_starts(pieces: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.
     return out
 
 
-def _answered(groups: int):
+@contextmanager
+def spooled(root: str) -> Iterator[tuple]:
+    """A sequential file of a task's own in the shared folder, to be written and then read from its beginning."""
+    store, base = fs.FileSystem.from_uri(root)
+    path = f"{base}/{uuid.uuid4().hex}"
+    store.create_dir(base, recursive=True)
+    try:
+        yield (lambda: store.open_output_stream(path)), (lambda: store.open_input_stream(path))
+    finally:
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_file(path)
+
+
+def _answered(groups: int, root: str):
     """For each document of a bucket's pieces, the pieces of which some window starts in a smaller one: their
-    places, and a bit for each window. Occurrences wait in a sequential file of the task's own."""
+    places, and a bit for each window. Occurrences wait in a sequential file below `root`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             known: dict[bytes, int] = {}
             least: list[int] = []
-            with tempfile.TemporaryFile() as spool:
+            with spooled(root) as (write, read):
                 lengths = []
+                spool = write()
                 for r in rows:
                     docs, counts = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["counts"], np.uint32)
                     piece = np.frombuffer(r["piece"], np.uint32)
@@ -382,6 +398,7 @@ def _answered(groups: int):
                     parts = [r["docs"], r["tids"], r["counts"], r["pos"], np.array(names, np.uint32)[piece].tobytes()]
                     lengths.append([len(x) for x in parts])
                     spool.write(b"".join(parts))
+                spool.close()
                 whole = np.frombuffer(b"".join(known), np.uint8).reshape(-1, ROW)
                 least = np.array(least, np.int64)
                 # Windows of a piece that shares none with another start in the piece's own documents only.
@@ -389,7 +406,7 @@ def _answered(groups: int):
                 starts = np.where(valid, least[:, None], np.iinfo(np.int64).max)
                 some = np.flatnonzero(related(whole))
                 starts[some] = first_starts(whole[some, :PIECE], whole[some, PIECE], least[some])
-                spool.seek(0)
+                spool = read()
                 answers = []
                 for sizes in lengths:
                     docs, tids, counts, pos, piece = (np.frombuffer(spool.read(n), t) for n, t in zip(sizes, (np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True))
@@ -403,6 +420,7 @@ def _answered(groups: int):
                         columns = [np.concatenate(x) for x in zip(*answers, strict=True)]
                         answers = []
                         yield from _grouped(columns[:2], columns[2:], groups, ["doc_id", "tid", "pos", "bits"])
+                spool.close()
                 if answers:
                     columns = [np.concatenate(x) for x in zip(*answers, strict=True)]
                     yield from _grouped(columns[:2], columns[2:], groups, ["doc_id", "tid", "pos", "bits"])
@@ -470,7 +488,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     settled = copies.groupBy("doc_id").agg(F.collect_set("tid").alias("settled"))
     held = long.join(found, "doc_id").join(settled, "doc_id", "left")
     held = held.where(~F.coalesce(F.array_contains("settled", F.col("tid")), F.lit(False))).select("doc_id", "text", "tid", "pos")
-    hits = bucketed(held.mapInArrow(_cut(max(4, size // PIECES_OF)), _PIECE_ROWS)).mapInArrow(_answered(parts), "bucket long, doc_id binary, tid binary, pos binary, bits binary")
+    hits = bucketed(held.mapInArrow(_cut(max(4, size // PIECES_OF)), _PIECE_ROWS)).mapInArrow(_answered(parts, scratch.path("spool")), "bucket long, doc_id binary, tid binary, pos binary, bits binary")
     hits = bucketed(hits).mapInArrow(_gathered([np.int64, np.int64, np.uint32, B.U64], ["doc_id", "tid", "pos", "bits"], 2), "doc_id long, tid long, pos binary, bits binary")
     hits = scratch.table(hits.select("doc_id", "tid", F.struct("pos", "bits").alias("hits")), "hits")
     del held

@@ -163,7 +163,10 @@ def test_suffix_brute(spark):
     assert sorted(tuple(r) for r in rows.collect()) == strip_brute(docs)
 
 
-def test_collection_bwt():
+@pytest.mark.parametrize("many", [1 << 24, 1])
+def test_collection_bwt(monkeypatch, many):
+    """Suffixes are numbered alike in four bytes and in eight."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     rng = np.random.default_rng(1)
     for _ in range(60):
         n, width = rng.integers(1, 8), rng.integers(1, 20)
