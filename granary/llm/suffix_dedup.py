@@ -40,8 +40,10 @@ PIECE = LENGTH + WINDOWS - 1
 ROW = PIECE + 2
 #: Bytes of text that a task takes at once, and that a bucket of anchors or pieces gets of them on average.
 BLOCK, ANCHORS_OF, PIECES_OF = 8 << 20, 24 << 20, 12 << 20
-#: From so many pieces a suffix takes eight bytes and not four.
-MANY = 1 << 24
+#: Pieces that a collection holds on average at most; its arrays then stay near the processor.
+COLLECTION = 2048
+#: Kinds of windows: by the bytes that they hold left of their anchor, from each number to before the next.
+KINDS = (0, 5, 9, 14, 18, 22, 26, 31, WINDOWS)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -269,23 +271,27 @@ def collection_bwt(pieces: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) ->
     pieces has a row a piece, UTF-8 bytes left-aligned. Round j inserts, for each piece of at least j symbols,
     its suffix of length j: what stands before a suffix, sorted stably, gives the order of the suffixes one
     longer, and a common prefix is one more than the least between the two shorter suffixes. A piece's end
-    sorts first, ends among themselves by piece. Symbol 0 stands for a piece's beginning.
+    sorts first, ends among themselves by piece. Symbol 0 stands for a piece's beginning. Which piece and start
+    a place belongs to follows in the end from the BWT, by walking each piece back from its end.
     """
     n = len(sizes)
     symbols = np.zeros((n, pieces.shape[1] + 1), np.uint8)
     symbols[:, 1:] = pieces + 1  # no byte of UTF-8 is 255
     sizes = sizes.astype(np.int64)
-    bwt = symbols[np.arange(n), sizes].copy()
-    # A suffix by its piece and start in one number, which holds any number of pieces.
-    wide = np.uint32 if n < MANY else np.uint64
-    lcp, suffix = np.zeros(n, np.uint8), (np.arange(n, dtype=wide) << wide(8)) | sizes.astype(wide)
+    bwt, lcp = symbols[np.arange(n), sizes], np.zeros(n, np.uint8)
     at, live = np.arange(n), np.arange(n)  # positions of the last round's suffixes, ascending, and their pieces
-    for length in range(1, int(sizes.max(initial=0)) + 1):
-        grown = sizes[live] >= length
-        at, live = at[grown], live[grown]
+
+    def sorted_places(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of what does not begin a piece, by symbol, and where each of all places comes among them."""
         order = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
         rank = np.empty(len(bwt), np.int64)
         rank[order] = np.arange(len(order))
+        return order, rank
+
+    for length in range(1, int(sizes.max(initial=0)) + 1):
+        grown = sizes[live] >= length
+        at, live = at[grown], live[grown]
+        order, rank = sorted_places(bwt)
         r = rank[at]
         # Least common prefixes from the last suffix before of the same symbol, and to the next behind.
         guarded = np.append(lcp, np.uint8(0))
@@ -308,46 +314,71 @@ def collection_bwt(pieces: np.ndarray, sizes: np.ndarray, cap: int = LENGTH) ->
         # Insert: new places in the list of all, those of the old in the same order between.
         place = r + n
         sorter = np.argsort(place, kind="stable")
-        place, live_new = place[sorter], live[sorter]
-        new = np.zeros(len(bwt) + len(place), bool)
-        new[place] = True
-        from_size = sizes[live_new] - length
-
-        def merged(old: np.ndarray, fresh: np.ndarray, new: np.ndarray = new) -> np.ndarray:
-            out = np.empty(len(new), old.dtype)
-            out[new], out[~new] = fresh, old
+        place, live = place[sorter], live[sorter]
+        old = np.ones(len(bwt) + len(place), bool)
+        old[place] = False
+
+        def merged(was: np.ndarray, fresh: np.ndarray, old: np.ndarray = old, place: np.ndarray = place) -> np.ndarray:
+            out = np.empty(len(old), was.dtype)
+            out[old], out[place] = was, fresh
             return out
 
-        bwt = merged(bwt, symbols[live_new, from_size])
-        suffix = merged(suffix, ((live_new << 8) | from_size).astype(wide))
+        bwt = merged(bwt, symbols[live, sizes[live] - length])
         lcp = merged(lcp, own[sorter])
-        follows = place + 1 < len(new)
-        lcp[place[follows] + 1] = np.where(new[place[follows] + 1], lcp[place[follows] + 1], after[sorter][follows])
-        at, live = place, live_new
-    return bwt, suffix >> wide(8), (suffix & wide(255)).astype(np.uint8), lcp
+        follows = np.flatnonzero(place + 1 < len(old))
+        next_old = follows[old[place[follows] + 1]]
+        lcp[place[next_old] + 1] = after[sorter][next_old]
+        at = place
+    piece, start = np.empty(len(bwt), np.int64), np.empty(len(bwt), np.uint8)
+    _, rank = sorted_places(bwt)
+    here, live = np.arange(n), np.arange(n)
+    for length in range(int(sizes.max(initial=0)) + 1):
+        grown = sizes[live] >= length
+        live, here = live[grown], here[grown] if not length else rank[here[grown]] + n
+        piece[here], start[here] = live, sizes[live] - length
+    return bwt, piece, start, lcp
+
+
+def eights(pieces: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of `size` bytes, eight at least, of each piece from its own place on; nothing after them counts."""
+    flat = np.ascontiguousarray(pieces).ravel()
+    words = np.lib.stride_tricks.as_strided(flat, (len(flat) - 7, 8), (1, 1))
+    begin = np.arange(len(pieces)) * pieces.shape[1] + at
+    value = np.zeros(len(pieces), B.U64)
+    for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        value = B.mix((value ^ words[begin + k].view(B.U64).ravel()) * B.U64(0x9E3779B97F4A7C15))
+    return value
 
 
 def related(pieces: np.ndarray) -> np.ndarray:
-    """Which pieces may share a window with another. A window of a piece's anchor holds the anchor and the
-    bytes left of it, or right of it, to half of what a window holds besides; so two pieces that share a
-    window share the anchor with one of these halves."""
-    half = (LENGTH - GRAM + 1) // 2
-    size = pieces[:, PIECE].astype(np.int64)
-    anchor = pieces[:, PIECE + 1].astype(np.int64)
+    """Which pieces may share a window with another. A window holds its anchor and, of what it holds besides, a
+    part left and the rest right of it; by the size of the left part the windows are of a few kinds, and two
+    pieces that share a window of a kind share what all windows of that kind hold around the anchor."""
+    anchor, end = pieces[:, PIECE + 1].astype(np.int64), pieces[:, PIECE].astype(np.int64)
     out = np.zeros(len(pieces), bool)
-    for lo in (anchor - half, anchor):
-        own = np.flatnonzero((lo >= 0) & (lo + GRAM + half <= size))
-        value = np.zeros(len(own), B.U64)
-        for k in range(GRAM + half):
-            value = (value ^ pieces[own, lo[own] + k]) * B.U64(0x9E3779B97F4A7C15)
-            value ^= value >> B.U64(29)
+    for first, last in zip(KINDS, KINDS[1:], strict=False):
+        size = first + GRAM + LENGTH - GRAM - (last - 1)
+        own = np.flatnonzero((anchor >= first) & (anchor - first + size <= end))
+        if not len(own):
+            continue
+        value = eights(pieces[own], anchor[own] - first, size)
         order = np.argsort(value, kind="stable")
         starts = _runs(value[order])
-        many = np.diff(np.append(starts, len(order))) > 1
-        out[own[order]] |= np.repeat(many, np.diff(np.append(starts, len(order))))
+        counts = np.diff(np.append(starts, len(order)))
+        out[own[order]] |= np.repeat(counts > 1, counts)
     return out
 
 
+def by_anchor(pieces: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+    """Some pieces in collections of about COLLECTION, each complete: pieces of one anchor stay together."""
+    value = eights(pieces[own], pieces[own, PIECE + 1].astype(np.int64), GRAM)
+    part = value % B.U64(max(1, len(own) // COLLECTION))
+    order = np.argsort(part, kind="stable")
+    cuts = _runs(part[order])
+    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+        yield own[order[a:b]]
+
+
 def first_starts(pieces: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each piece and window start in it, the least of `docs` (one a piece) over all pieces that hold
     the window's bytes; the greatest integer where no window starts."""
@@ -404,8 +435,8 @@ def _answered(groups: int, root: str):
                 # Windows of a piece that shares none with another start in the piece's own documents only.
                 valid = np.arange(WINDOWS) + LENGTH <= whole[:, PIECE, None].astype(np.int64)
                 starts = np.where(valid, least[:, None], np.iinfo(np.int64).max)
-                some = np.flatnonzero(related(whole))
-                starts[some] = first_starts(whole[some, :PIECE], whole[some, PIECE], least[some])
+                for some in by_anchor(whole, np.flatnonzero(related(whole))):
+                    starts[some] = first_starts(whole[some, :PIECE], whole[some, PIECE], least[some])
                 spool = read()
                 answers = []
                 for sizes in lengths:
