@@ -106,7 +106,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
     n = len(offsets) - 1
     first = np.searchsorted(row, np.arange(n + 1))
     grams = value.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, len(grams))):
         grams[: len(grams) - k] = mix(grams[: len(grams) - k] * U64(0xD6E8FEB86659FD93) + value[k:])
     out = []
     for i in range(n):

@@ -40,6 +40,8 @@ PIECE = LENGTH + WINDOWS - 1
 ROW = PIECE + 2
 #: Bytes of text that a task takes at once, and that a bucket of anchors or pieces gets of them on average.
 BLOCK, ANCHORS_OF, PIECES_OF = 8 << 20, 24 << 20, 12 << 20
+#: Pieces that a task cuts at once.
+CUT_AT_ONCE = 1 << 19
 #: Pieces that a collection holds on average at most; its arrays then stay near the processor.
 COLLECTION = 2048
 #: Kinds of windows: by the bytes that they hold left of their anchor, from each number to before the next.
@@ -232,34 +234,37 @@ def _cut(buckets: int):
                 doc.append(np.full(len(own), k))
                 pos.append(own)
             doc, pos = np.concatenate(doc), np.concatenate(pos).astype(np.int64)
-            if not len(doc):
-                continue
-            padded = np.concatenate([data, np.zeros(PIECE, np.uint8)])
-            begin, end = at[doc], at[doc + 1]
-            lo = np.maximum(begin + pos - (WINDOWS - 1), begin)
-            size = np.minimum(begin + pos + LENGTH, end) - lo
-            cells = np.arange(PIECE)
-            whole = np.empty((len(doc), ROW), np.uint8)
-            for k in range(0, len(doc), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                whole[part, :PIECE] = padded[np.minimum(lo[part, None] + cells, len(padded) - 1)] * (cells < size[part, None])
-            whole[:, PIECE], whole[:, PIECE + 1] = size, begin + pos - lo
-            eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))).view(B.U64).ravel()
-            a = begin + pos
-            bucket = (B.mix(eight[a] * B.U64(0x9E3779B97F4A7C15) + eight[a + 8]) % B.U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = _runs(bucket[order])
-            out = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                own = order[a:b]
-                pieces, which = np.unique(whole[own].view(f"V{ROW}").ravel(), return_inverse=True)
-                first = _runs(doc[own])
-                heads = doc[own[first]]
-                counts = np.diff(np.append(first, len(own))).astype(np.uint32)
-                start = (lo - begin)[own].astype(np.uint32)
-                out.append((int(bucket[own[0]]), ids[heads].tobytes(), tids[heads].tobytes(), counts.tobytes(), start.tobytes(), which.astype(np.uint32).tobytes(), pa.compress(pieces.tobytes(), "zstd", asbytes=True)))
-            types = (pa.int64(), *[pa.binary()] * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in _PIECE_ROWS.split(", ")])
+            # A block has an anchor in some 17 bytes, but one of a single repeated byte has one at each.
+            for k in range(0, len(doc), CUT_AT_ONCE):
+                yield cut(ids, tids, data, at, doc[k : k + CUT_AT_ONCE], pos[k : k + CUT_AT_ONCE])
+
+    def cut(ids: np.ndarray, tids: np.ndarray, data: np.ndarray, at: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        padded = np.concatenate([data, np.zeros(PIECE, np.uint8)])
+        begin, end = at[doc], at[doc + 1]
+        lo = np.maximum(begin + pos - (WINDOWS - 1), begin)
+        size = np.minimum(begin + pos + LENGTH, end) - lo
+        cells = np.arange(PIECE)
+        whole = np.empty((len(doc), ROW), np.uint8)
+        for k in range(0, len(doc), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            whole[part, :PIECE] = padded[np.minimum(lo[part, None] + cells, len(padded) - 1)] * (cells < size[part, None])
+        whole[:, PIECE], whole[:, PIECE + 1] = size, begin + pos - lo
+        eight = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))).view(B.U64).ravel()
+        a = begin + pos
+        bucket = (B.mix(eight[a] * B.U64(0x9E3779B97F4A7C15) + eight[a + 8]) % B.U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = _runs(bucket[order])
+        out = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            own = order[a:b]
+            pieces, which = np.unique(whole[own].view(f"V{ROW}").ravel(), return_inverse=True)
+            first = _runs(doc[own])
+            heads = doc[own[first]]
+            counts = np.diff(np.append(first, len(own))).astype(np.uint32)
+            start = (lo - begin)[own].astype(np.uint32)
+            out.append((int(bucket[own[0]]), ids[heads].tobytes(), tids[heads].tobytes(), counts.tobytes(), start.tobytes(), which.astype(np.uint32).tobytes(), pa.compress(pieces.tobytes(), "zstd", asbytes=True)))
+        types = (pa.int64(), *[pa.binary()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in _PIECE_ROWS.split(", ")])
 
     return run
 
@@ -459,12 +464,13 @@ def _answered(groups: int, root: str):
     return run
 
 
-def covered(size: int, starts: np.ndarray) -> np.ndarray:
-    """Which bytes windows from these starts cover."""
-    change = np.zeros(size + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + LENGTH, size), -1)
-    return np.cumsum(change[:-1]) > 0
+def covered(size: int, pos: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which bytes are covered by windows that start at pos + w where bit w is set; in memory as the text is long."""
+    begins = np.zeros(size + LENGTH, np.int32)
+    for w in range(WINDOWS):
+        begins[pos[(bits >> B.U64(w)) & B.U64(1) == 1] + w] = 1
+    total = np.concatenate([np.zeros(LENGTH, np.int32), np.cumsum(begins[:size], dtype=np.int32)])
+    return total[LENGTH:] > total[:size]
 
 
 def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,8 +484,7 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.full(len(text), bool(copy) and len(text) >= LENGTH)
             if hits and not copy:
                 pos, bits = np.frombuffer(hits["pos"], np.uint32).astype(np.int64), np.frombuffer(hits["bits"], B.U64)
-                starts = [pos[(bits >> B.U64(w)) & B.U64(1) == 1] + w for w in range(WINDOWS)]
-                gone = covered(len(text), np.unique(np.concatenate(starts)))
+                gone = covered(len(text), pos, bits)
             spans = int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1]))
             kept = text[~gone].tobytes()
             out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))

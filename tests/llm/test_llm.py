@@ -163,6 +163,26 @@ def test_suffix_brute(spark):
     assert sorted(tuple(r) for r in rows.collect()) == strip_brute(docs)
 
 
+def test_suffix_query_brute(spark, data):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(tuple(r) for r in suffix_dedup.query(spark, data).collect()) == strip_brute(docs)
+
+
+def test_suffix_runs(spark, monkeypatch):
+    """Long runs of one byte, where every place is an anchor, in several cuts and collections."""
+    monkeypatch.setattr(suffix_dedup, "CUT_AT_ONCE", 5000)
+    docs = [(1, "x" * 30_000), (2, "y" + "x" * 40_000 + "z" * 60), (3, "ab" * 9000), (4, "z" * 59), (5, "ba" * 9000 + "x" * 49)]
+    rows = suffix_dedup.strip_repeats(spark.createDataFrame(docs, "doc_id long, text string")).drop("kept")
+    assert sorted(tuple(r) for r in rows.collect()) == strip_brute(docs)
+
+
+@pytest.mark.parametrize("name", ["near", "exact", "suffix", "quality", "clean", "language", "counts", "pack"])
+def test_very_long_texts(spark, name):
+    """A text of one word, one of many words, and one of a single line feed's worth of lines, of a megabyte each."""
+    rows = [(1, "x" * 1_000_000), (2, "some words " * 90_000), (3, "\n" * 1_000_000), (4, "short"), (5, "x" * 1_000_000)]
+    assert operators(spark)[name](table(spark, rows)).count() == 5
+
+
 def test_collection_bwt():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -230,6 +250,14 @@ def test_word_hashes_of_structured_bytes():
         assert x != y and len(x) == len(y) == 1
 
 
+def test_shingles_of_few_words():
+    """Blocks of fewer words than a shingle has."""
+    for n in range(7):
+        text = np.frombuffer(" ".join("abcdefg"[:n]).encode(), np.uint8)
+        for width in (1, 2, 5):
+            assert len(B.shingles(text, np.array([0, len(text)]), width)[0]) == (max(1, n - width + 1) if n else 0)
+
+
 def test_word_hashes():
     """Equal spans have equal hashes wherever they stand; others differ."""
     rng = np.random.default_rng(6)
