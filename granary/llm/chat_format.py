@@ -6,8 +6,8 @@ DataFrame functions only. Messages have one row each:
     content, after (ids of the calls that must come before)
 
 Calls and results meet in a hash join on (conv_id, call_id), each side counted first. The order is by turn
-where that agrees with `after`; conversations in which it does not are levelled round by round, each round
-placing the calls whose predecessors are placed. Nothing gathers a conversation in one row or task.
+where that agrees with `after`; calls that must come after one of a later turn are raised above it, and so on,
+round by round. Nothing gathers a conversation in one row or task.
 """
 
 from __future__ import annotations
@@ -58,36 +58,56 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     A call's level is its turn, or one more than the highest level of the calls it must come after if that
     is higher. Ids that no call of the conversation has are ignored. Calls on or after a cycle are cyclic
     and stay at their turn.
+
+    Where a call must come after one of the same or a later turn it is raised, and so are those after it that
+    this affects, round by round; calls whose turn is late enough take no part, so rounds are as many as the
+    longest chain of raised calls, however long conversations are. A chain of more calls than were raised in
+    its conversation has been round a cycle, and every cycle has such a chain.
     """
     plain = calls.select(*KEYS, "call_turn")
-    edges = calls.select(*KEYS, "call_turn", F.explode("after").alias("pre"))
+    edges = calls.select(*KEYS, "call_turn", F.explode("after").alias("pre")).distinct()
     before = plain.select("conv_id", F.col("call_id").alias("pre"), F.col("call_turn").alias("pre_turn"))
     edges = edges.join(before, ["conv_id", "pre"])
-    astray = scratch.table(edges.where("pre_turn >= call_turn").select("conv_id").distinct(), "astray")
-    out = plain.select(*KEYS, F.col("call_turn").alias("level"), F.lit(False).alias("cyclic"))
-    if not astray.limit(1).count():
-        return out
-    out = out.join(astray, "conv_id", "left_anti")
-    edges = scratch.table(edges.join(astray, "conv_id", "left_semi").select(*KEYS, "pre").distinct(), "edges")
-    left = scratch.table(plain.join(astray, "conv_id", "left_semi"), "left")
-    placed = scratch.path("placed")
-    done = None
+    early = edges.where("pre_turn >= call_turn").groupBy(*KEYS).agg((F.max("pre_turn") + 1).alias("level"))
+    raised = frontier = scratch.table(early, "raised")
+    if not raised.limit(1).count():
+        return plain.select(*KEYS, F.col("call_turn").alias("level"), F.lit(False).alias("cyclic"))
+    edges = edges.join(raised.select("conv_id").distinct(), "conv_id", "left_semi").select(*KEYS, "call_turn", "pre")
+    edges = scratch.table(edges, "edges")
+    cyclic, rounds = None, 1
+    while frontier.limit(1).count():
+        rounds += 1
+        heads = frontier.select("conv_id", F.col("call_id").alias("pre"), (F.col("level") + 1).alias("level"))
+        higher = edges.join(heads, ["conv_id", "pre"]).groupBy(*KEYS, "call_turn").agg(F.max("level").alias("level"))
+        higher = higher.join(raised.withColumnRenamed("level", "now"), KEYS, "left").where("level > coalesce(now, call_turn)")
+        frontier = scratch.table(higher.select(*KEYS, "level"), "frontier")
+        raised = scratch.table(raised.union(frontier).groupBy(*KEYS).agg(F.max("level").alias("level")), "raised")
+        few = raised.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < rounds)
+        looped = scratch.table(frontier.join(few, "conv_id", "left_semi").select(*KEYS), "looped")
+        if looped.limit(1).count():
+            found = reached(edges, looped, scratch)
+            cyclic = found if cyclic is None else cyclic.union(found)
+            frontier = scratch.table(frontier.join(found, KEYS, "left_anti"), "frontier")
+            edges = scratch.table(edges.join(found, KEYS, "left_anti"), "edges")
+    out = plain.join(raised, KEYS, "left")
+    if cyclic is None:
+        return out.select(*KEYS, F.coalesce("level", "call_turn").alias("level"), F.lit(False).alias("cyclic"))
+    marked = out.join(cyclic.withColumn("_on", F.lit(True)), KEYS, "left")
+    on = F.col("_on").isNotNull()
+    return marked.select(*KEYS, F.when(on, F.col("call_turn")).otherwise(F.coalesce("level", "call_turn")).alias("level"), on.alias("cyclic"))
+
+
+def reached(edges: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id) of the first calls and of all that come after them."""
+    folder = scratch.path("reached")
+    found = first
     while True:
-        waits = edges.join(left.select("conv_id", F.col("call_id").alias("pre")), ["conv_id", "pre"], "left_semi").select(*KEYS).distinct()
-        ready = left.join(waits, KEYS, "left_anti")
-        if done is None:
-            ready = ready.select(*KEYS, F.col("call_turn").alias("level"))
-        else:
-            high = edges.join(done.select("conv_id", F.col("call_id").alias("pre"), "level"), ["conv_id", "pre"]).groupBy(*KEYS).agg(F.max("level").alias("high"))
-            ready = ready.join(high, KEYS, "left").select(*KEYS, F.greatest("call_turn", F.col("high") + 1).alias("level"))
-        ready = scratch.table(ready, "ready")
-        if not ready.limit(1).count():
-            break
-        ready.write.mode("append").parquet(placed)
-        done = ready.sparkSession.read.schema(ready.schema).parquet(placed)
-        left = scratch.table(left.join(ready, KEYS, "left_anti"), "left")
-    out = out.unionByName(left.select(*KEYS, F.col("call_turn").alias("level"), F.lit(True).alias("cyclic")))
-    return out if done is None else out.unionByName(done.withColumn("cyclic", F.lit(False)))
+        found.write.mode("append").parquet(folder)
+        seen = found.sparkSession.read.schema(first.schema).parquet(folder)
+        heads = found.select("conv_id", F.col("call_id").alias("pre"))
+        found = scratch.table(edges.join(heads, ["conv_id", "pre"], "left_semi").select(*KEYS).distinct().join(seen, KEYS, "left_anti"), "found")
+        if not found.limit(1).count():
+            return seen
 
 
 def format_chat(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

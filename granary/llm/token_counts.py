@@ -23,6 +23,8 @@ RULES = ("first", "last", "most")
 #: What keeps a text from being encoded by pieces: white space other than single blanks and line feeds
 #: between other characters.
 UNEVEN = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
+#: Pieces whose spans a worker keeps at most.
+KEPT_PIECES = 1_500_000
 _ENCODERS: dict = {}
 
 
@@ -40,7 +42,7 @@ class SpanEncoder(Keeper):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        super().__init__()
+        super().__init__(KEPT_PIECES)
 
     @classmethod
     def of(cls, path: str) -> SpanEncoder:

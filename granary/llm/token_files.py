@@ -31,7 +31,7 @@ from .scratch import Scratch, documents, shuffle_partitions
 
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a worker keeps at most.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 800_000
 #: Marks that a word may end in, taken by themselves after a letter.
 TAILS = frozenset(".,")
 #: A word that the tokenizer gives one id, put between words that are encoded together.

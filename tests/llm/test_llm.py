@@ -425,6 +425,26 @@ def test_calls(spark):
     assert got[3, None].json == '{"content":null,"role":null,"type":"message"}' and got[None, 0].status == "unanswered" and got[4, 0].status == "repeated"
 
 
+def test_levels_brute(spark):
+    """Random orders, with long chains, loops of several calls, and calls behind them."""
+    rng = np.random.default_rng(9)
+    rows = [(-1, f"c{k}", k, [f"c{k + 1}"]) for k in range(12)] + [(-2, f"c{k}", 2 * k, [f"c{k - 1}"]) for k in range(40)]
+    rows += [(-3, "a", 0, ["a"]), (-3, "b", 1, ["a"]), (-3, "c", 2, ["b", "x"]), (-3, "d", 3, None), (-4, "a", 0, ["c"]), (-4, "b", 5, ["a"]), (-4, "c", 5, ["b"]), (-4, "d", 1, ["e"]), (-4, "e", 1, [])]
+    for conv in range(25):
+        n = int(rng.integers(2, 8))
+        for k in range(n):
+            rows.append((conv, f"c{k}", int(rng.integers(0, n)), [f"c{j}" for j in rng.choice(n, rng.integers(0, 3), replace=False)]))
+    want = {}
+    for conv in {r[0] for r in rows}:
+        own = {c: (t, [p for p in a or [] if any(x[0] == conv and x[1] == p for x in rows)]) for i, c, t, a in rows if i == conv}
+        level = {}
+        for _ in own:
+            level |= {c: max([t, *(level[p] + 1 for p in pre)]) for c, (t, pre) in own.items() if c not in level and all(p in level for p in pre)}
+        want |= {(conv, c): (level.get(c, own[c][0]), c not in level) for c in own}
+    found = chat_format.levels(spark.createDataFrame(rows, "conv_id long, call_id string, call_turn long, after array<string>"), Scratch(spark)).collect()
+    assert len(found) == len(want) and {(r.conv_id, r.call_id): (r.level, r.cyclic) for r in found} == want
+
+
 def test_exact_stage_rows(spark):
     """Dropping is by row: a doc_id may repeat with other texts, or be null."""
     import corpus_pipeline as p
