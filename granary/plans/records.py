@@ -156,12 +156,12 @@ def q_cluster_sizes(t: Tables) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type <> 'error' ORDER BY event_id DESC) AS last FROM events)
-SELECT user_id, count(*) AS runs, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 6) AS mean, round(sum(value) FILTER (event_type <> 'error'), 4) AS ok_sum,
+SELECT user_id, count(*) AS runs, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 9) AS mean, round(sum(value) FILTER (event_type <> 'error'), 4) AS ok_sum,
  coalesce(string_agg(props, ';' ORDER BY event_id) FILTER (event_type = 'error' AND last <= 5), '') AS errors FROM e GROUP BY 1
 """)
 def q_runs_errors(t: Tables) -> DataFrame:
     out = aggregates.runs_summary(t.events, "user_id", F.col("event_type") != "error", "event_id", "value", "props")
-    return out.select("user_id", "runs", "ok", "failed", r6("mean").alias("mean"), F.round("ok_sum", 4).alias("ok_sum"), F.array_join("errors", ";").alias("errors"))
+    return out.select("user_id", "runs", "ok", "failed", F.round("mean", 9).alias("mean"), F.round("ok_sum", 4).alias("ok_sum"), F.array_join("errors", ";").alias("errors"))
 
 
 @query("SELECT count(DISTINCT user_id) AS documents, count(*) AS segments, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (value >= 100) AS ranked FROM events")
