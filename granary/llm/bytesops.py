@@ -5,8 +5,9 @@ All hashes here are 64-bit and the same in every process; none depends on PYTHON
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,19 @@ _KEY = b"granary words"
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of a task's batches that, when it ends, gives the memory it has freed back to the system: a
+    worker lives on, and others on its machine need that memory. Where the C library cannot, nothing is done."""
+
+    def out(batches):
+        yield from run(batches)
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if give_back:
+            give_back(0)
+
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = x ^ (x >> U64(30))

@@ -438,18 +438,25 @@ def _answered(groups: int, root: str):
                 whole = np.frombuffer(b"".join(known), np.uint8).reshape(-1, ROW)
                 least = np.array(least, np.int64)
                 # Windows of a piece that shares none with another start in the piece's own documents only.
-                valid = np.arange(WINDOWS) + LENGTH <= whole[:, PIECE, None].astype(np.int64)
-                starts = np.where(valid, least[:, None], np.iinfo(np.int64).max)
-                for some in by_anchor(whole, np.flatnonzero(related(whole))):
-                    starts[some] = first_starts(whole[some, :PIECE], whole[some, PIECE], least[some])
+                size = whole[:, PIECE].astype(np.int64)
+                own_bits = (B.U64(1) << np.clip(size - LENGTH + 1, 0, WINDOWS).astype(B.U64)) - B.U64(1)
+                some = np.flatnonzero(related(whole))
+                row = np.full(len(whole), -1)
+                row[some] = np.arange(len(some))
+                starts = np.empty((len(some), WINDOWS), np.int64)
+                for part in by_anchor(whole, some):
+                    starts[row[part]] = first_starts(whole[part, :PIECE], whole[part, PIECE], least[part])
                 spool = read()
                 answers = []
                 for sizes in lengths:
                     docs, tids, counts, pos, piece = (np.frombuffer(spool.read(n), t) for n, t in zip(sizes, (np.int64, np.int64, np.uint32, np.uint32, np.uint32), strict=True))
                     own = np.repeat(np.arange(len(docs)), counts)
-                    bits = np.zeros(len(piece), B.U64)
+                    bits = np.where(least[piece] < docs[own], own_bits[piece], B.U64(0))
+                    again = np.flatnonzero(row[piece] >= 0)
+                    at, doc, found = row[piece[again]], docs[own[again]], np.zeros(len(again), B.U64)
                     for w in range(WINDOWS):
-                        bits |= (starts[piece, w] < docs[own]).astype(B.U64) << B.U64(w)
+                        found |= (starts[at, w] < doc).astype(B.U64) << B.U64(w)
+                    bits[again] = found
                     hit = np.flatnonzero(bits)
                     answers.append([docs[own[hit]], tids[own[hit]], pos[hit], bits[hit]])
                     if sum(len(x[0]) for x in answers) > 1 << 19:
@@ -515,23 +522,23 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     def bucketed(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    found = bucketed(long.select("doc_id", "text").mapInArrow(_anchored(max(4, size // ANCHORS_OF)), _ANCHOR_ROWS))
-    found = bucketed(found.mapInArrow(_repeated(parts), "bucket long, doc_id binary, pos binary"))
-    found = scratch.table(found.mapInArrow(_gathered([np.int64, np.uint32], ["doc_id", "pos"], 1), "doc_id long, pos binary"), "anchors")
+    found = bucketed(long.select("doc_id", "text").mapInArrow(B.trimmed(_anchored(max(4, size // ANCHORS_OF))), _ANCHOR_ROWS))
+    found = bucketed(found.mapInArrow(B.trimmed(_repeated(parts)), "bucket long, doc_id binary, pos binary"))
+    found = scratch.table(found.mapInArrow(B.trimmed(_gathered([np.int64, np.uint32], ["doc_id", "pos"], 1)), "doc_id long, pos binary"), "anchors")
     scratch.drop(marks)
     scratch.release()
     # Copies meet by doc_id alone, as anchors do, so that the texts are dealt out once.
     settled = copies.groupBy("doc_id").agg(F.collect_set("tid").alias("settled"))
     held = long.join(found, "doc_id").join(settled, "doc_id", "left")
     held = held.where(~F.coalesce(F.array_contains("settled", F.col("tid")), F.lit(False))).select("doc_id", "text", "tid", "pos")
-    hits = bucketed(held.mapInArrow(_cut(max(4, size // PIECES_OF)), _PIECE_ROWS)).mapInArrow(_answered(parts, scratch.path("spool")), "bucket long, doc_id binary, tid binary, pos binary, bits binary")
-    hits = bucketed(hits).mapInArrow(_gathered([np.int64, np.int64, np.uint32, B.U64], ["doc_id", "tid", "pos", "bits"], 2), "doc_id long, tid long, pos binary, bits binary")
+    hits = bucketed(held.mapInArrow(B.trimmed(_cut(max(4, size // PIECES_OF))), _PIECE_ROWS)).mapInArrow(B.trimmed(_answered(parts, scratch.path("spool"))), "bucket long, doc_id binary, tid binary, pos binary, bits binary")
+    hits = bucketed(hits).mapInArrow(B.trimmed(_gathered([np.int64, np.int64, np.uint32, B.U64], ["doc_id", "tid", "pos", "bits"], 2)), "doc_id long, tid long, pos binary, bits binary")
     hits = scratch.table(hits.select("doc_id", "tid", F.struct("pos", "bits").alias("hits")), "hits")
     del held
     scratch.drop(found)
     scratch.release()
     out = docs.join(hits, ["doc_id", "tid"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc_id", "tid"], "left")
-    return out.select("doc_id", "text", "copy", "hits").mapInArrow(_stripped, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.select("doc_id", "text", "copy", "hits").mapInArrow(B.trimmed(_stripped), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
