@@ -456,6 +456,24 @@ def test_exact_stage_rows(spark):
     assert by_id(out.select("doc_id", "text")) == sorted([(7, "X"), (5, "unique"), (8, "Twice"), (None, "N"), (3, None)], key=str)
 
 
+def test_near_stage_rows(spark):
+    """A doc_id that repeats names several documents, and rows without one are documents too."""
+    import corpus_pipeline as p
+
+    base = [f"w{k}" for k in range(60)]
+    near, other = " ".join([*base, "end"]), " ".join(f"v{k}" for k in range(40))
+    rows = [(5, " ".join(base)), (7, near), (7, other), (9, other + " tail"), (None, near + " more"), (None, "alone and by itself here"), (8, None), (8, ""), (3, "few words")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, _row string")
+    for given in (docs, docs.repartition(3)):
+        out = p.near_stage(spark, given, "")
+        assert out.columns == docs.columns
+        want = [(5, " ".join(base)), (7, other), (None, "alone and by itself here"), (8, None), (8, ""), (3, "few words")]
+        assert by_id(out.select("doc_id", "text")) == sorted(want, key=str)
+    single = docs.where("doc_id in (5, 3, 9)").unionByName(docs.where("_row is null"))
+    assert by_id(p.near_stage(spark, single, "").select("doc_id")) == [(3,), (5,), (9,)]
+    assert p.near_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as p
 
