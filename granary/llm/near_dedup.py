@@ -311,8 +311,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     sizes = sizes.withColumn("pool", F.when(F.col("c") >= BLOCK_ROWS // 2, F.col("comp")).otherwise(-1))
     mixed = sizes.groupBy("hood").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hood")
     pools = sizes.groupBy("hood", "pool").agg(F.ceil(F.greatest(F.sum("c") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    home = sizes.select("hood", "comp", "pool").join(mixed, "hood").join(pools, ["hood", "pool"])
-    blocks = members.join(home, ["hood", "comp"]).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    home = sizes.select("hood", "comp", "pool", "c").join(mixed, "hood").join(pools, ["hood", "pool"])
+    home = scratch.table(home.select(F.struct("hood", "comp").alias("own"), "hood", "pool", "parts", "c"), "home")
+    members = members.select(F.struct("hood", "comp").alias("own"), "rid", "comp", "sig", "shingles")
+    blocks = join_groups(members, home, "own", "c", "rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
     blocks = blocks.groupBy("hood", "pool", "part").agg(F.collect_list(F.struct("rid", "comp", "sig", "shingles")).alias("block"))
     blocks = scratch.table(blocks, "blocks")
     names = blocks.select("hood", "pool", "part")
@@ -325,7 +327,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     last = scratch.table(within.union(across), "links")
     if last.limit(1).count():
         comps = connected_components(links.union(last), scratch)
-    scratch.drop(shared, sets, sigs, rest, blocks, near, near2)
+    scratch.drop(shared, sets, sigs, rest, home, blocks, near, near2)
     found = classes.select("setkey", "rid").join(comps, classes.rid == comps.id, "left").select("setkey", F.coalesce("comp", "rid").alias("comp"))
     out = signed.select("doc_id", "n", "setkey").join(found, "setkey", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
