@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import document_key
 
+#: Bytes of items that are broadcast at most.
+MOST_BROADCAST = 8 << 20
+
 
 def requested(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
     """The rows of the documents of a list that a user gave, with their `place` in it, the first of repeated
@@ -72,3 +75,21 @@ def span_issue(start: Column, end: Column, length: Column, end_before: Column) -
     """What is wrong with a span, all that is, in a fixed order."""
     found = [F.when(start > end, "inverted"), F.when(end - start != length, "length"), F.when(start < end_before, "overlap")]
     return F.array_compact(F.array(*found))
+
+
+def against_all(rows: DataFrame, items: DataFrame, row: str, item: str, text: str, on: Column, most: int = MOST_BROADCAST) -> DataFrame:
+    """The pairs of rows and items for which `on` holds, `row` and `item` being columns to deal them by and `text`
+    what makes items large. Their size is counted first: up to `most` bytes of items are broadcast, more are cut
+    into blocks of about that size, each of which meets each part of the rows in a task."""
+    size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 16), F.lit(0))).first()[0]
+    if size <= most:
+        return rows.join(F.broadcast(items), on)
+    blocks, parts = -(-size // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(x: DataFrame, own: str, n: int, by: str, other: str, m: int) -> DataFrame:
+        return x.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    left = dealt(rows, "_part", parts, row, "_block", blocks)
+    right = dealt(items, "_block", blocks, item, "_part", parts).withColumnsRenamed({"_block": "_block_b", "_part": "_part_b"})
+    met = (F.col("_part") == F.col("_part_b")) & (F.col("_block") == F.col("_block_b"))
+    return left.join(right, met & on).drop("_part", "_block", "_part_b", "_block_b")

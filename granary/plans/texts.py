@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as tx
-from granary.operators import authority, chunks, neighbours, spans
+from granary.operators import authority, chunks, neighbours, records, spans
 
 from .registry import Tables, query
 from .scores import r6
@@ -251,7 +251,7 @@ SELECT item_id, doc_id, (p - 1)::INT AS start, substr(text, greatest(1, p - 30),
 """)
 def q_find_span(t: Tables) -> DataFrame:
     items = t.benchmark.select("item_id", F.col("text").alias("part"))
-    hits = t.documents.select("doc_id", "text").join(F.broadcast(items), F.instr(F.lower("text"), F.lower("part")) > 0)
+    hits = records.against_all(t.documents.select("doc_id", "text"), items, "doc_id", "item_id", "part", F.instr(F.lower("text"), F.lower("part")) > 0)
     start = F.col("start")
     rows = hits.select("item_id", "doc_id", "text", tx.span_of(F.col("text"), F.col("part")).alias("start"))
     return rows.select("item_id", "doc_id", "start", F.substring("text", F.greatest(F.lit(1), start - 29), F.lit(60)).alias("context"))

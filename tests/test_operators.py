@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from granary.functions import stats
 from granary.functions import text as tx
 from granary.functions.model import keyword_provider, model_udf
-from granary.operators import chunks, spans
+from granary.operators import chunks, records, spans
 from granary.sources import readers, sinks
 from granary.streaming.ingest import ingest
 
@@ -118,3 +118,13 @@ def test_model(spark):
     f = model_udf(keyword_provider({"wage": "Wages"}), "string")
     rows = spark.createDataFrame([("Wage rates",), (None,)], "t string").select(f(F.col("t")))
     assert [r[0] for r in rows.collect()] == ["Wages", "OTHER"]
+
+
+def test_against_all(spark):
+    """Items too large to broadcast meet every row in blocks, with the same pairs."""
+    rows = spark.createDataFrame([(i, f"text {i % 7} of {i}") for i in range(60)] + [(None, "text 1 of"), (3, None)], "doc long, text string")
+    items = spark.createDataFrame([(k, f"{k} of") for k in range(9)] + [(None, "5 of 5"), (99, None)], "item long, part string")
+    on = F.instr("text", F.col("part")) > 0
+    pairs = [sorted(map(tuple, records.against_all(rows, items, "doc", "item", "part", on, most=most).collect()), key=str) for most in (1 << 20, 64, 1)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 60
+    assert records.against_all(rows, items.limit(0), "doc", "item", "part", on).count() == 0
