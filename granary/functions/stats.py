@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 Z = 1.959963984540054
 
 
+def exact_mean(x: Column, places: int = 2) -> Column:
+    """The mean of numbers of so many decimals, the same in whatever order they are added: whole units are summed,
+    and the sum divided once, so equal means are equal. Numbers of more decimals have the mean of a sum of doubles."""
+    unit = 10**places
+    whole = F.round(x * unit).try_cast("long")
+    exact = F.when(F.count_if(whole / unit == x) == F.count(x), F.try_sum(whole) / F.count(x) / unit)
+    return F.coalesce(exact, F.avg(x))
+
+
 def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     """The Wilson score interval of k of n, within 0 and 1; (0, 0) for n = 0."""
     n = n.cast("double")

@@ -264,7 +264,7 @@ SELECT k, r1, r2, (r1 + r2) / 2.0::DOUBLE AS mean_rank, rank() OVER (ORDER BY (r
 """)
 def q_rank_compare(t: Tables) -> DataFrame:
     counts = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("s1"))
-    means = t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("s2"))
+    means = t.orders.groupBy("o_custkey").agg(stats.exact_mean(F.col("o_totalprice")).alias("s2"))
     rows = t.customer.select(F.col("c_custkey").alias("k")).join(counts, F.col("k") == F.col("o_custkey")).drop("o_custkey").join(means, F.col("k") == F.col("o_custkey"))
     rows = ranks.placed(ranks.placed(rows, "r1", F.desc("s1"), ties=True), "r2", F.desc("s2"), ties=True)
     rows = rows.select("k", "r1", "r2", ((F.col("r1") + F.col("r2")) / 2.0).alias("mean_rank"))
