@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rubric import typed
-from .text import first_number, first_sentence, loose_json, norm_key, norm_space, span_of, strip, truth
+from .text import first_digits, first_sentence, loose_json, norm_key, norm_space, span_of, strip, truth
 
 Provider = Callable[..., pd.Series | pd.DataFrame]
 
@@ -107,7 +107,7 @@ def rated(text: Column, attributes: list[str], runs: int = 3) -> Column:
 def extracted(text: Column, fields: dict[str, str]) -> Column:
     """A stand-in for field extraction, a struct of typed values: the first number, whether the first word says
     yes, or the first sentence."""
-    answers = {"number": first_number(text).cast("string"), "boolean": truth(F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1)).cast("string")}
+    answers = {"number": first_digits(text), "boolean": truth(F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1)).cast("string")}
     return F.struct(*(typed(answers.get(kind, first_sentence(text)), F.lit(kind)).alias(name) for name, kind in fields.items()))
 
 

@@ -30,8 +30,13 @@ def snake(x: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def first_digits(x: Column) -> Column:
+    """The first number as it is written."""
+    return F.nullif(F.regexp_extract(x, r"[-+]?\d+(?:\.\d+)?", 0), F.lit(""))
+
+
 def first_number(x: Column) -> Column:
-    return F.nullif(F.regexp_extract(x, r"[-+]?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
+    return first_digits(x).try_cast("double")
 
 
 def trailing_number(x: Column, otherwise: int) -> Column:

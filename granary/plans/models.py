@@ -57,9 +57,13 @@ def q_model_rates(t: Tables) -> DataFrame:
 @query("SELECT c_custkey, round(c_acctbal, 2) AS amount, c_custkey % 2 = 0 AS agreed, CASE WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'Maybe' END || ' ' || printf('%.2f', round(c_acctbal, 2)) || ' a month.' AS note FROM customer")
 def q_model_fields(t: Tables) -> DataFrame:
     word = F.when(F.col("c_custkey") % 2 == 0, "Yes").otherwise("Maybe")
-    text = F.concat_ws(" ", word, F.format_string("%.2f", F.round("c_acctbal", 2)), F.lit("a month. More"))
-    found = t.customer.select("c_custkey", model.extracted(text, {"amount": "number", "agreed": "boolean", "note": "string"}).alias("x"))
-    return found.select("c_custkey", F.col("x.amount.num").alias("amount"), F.coalesce("x.agreed.bool", F.lit(False)).alias("agreed"), F.col("x.note.str").alias("note"))
+    # Rounded as SQL does: it is the product with 100 that may reach a half, and a zero keeps its sign.
+    balance = F.round(F.abs("c_acctbal") * 100) / 100
+    shown = F.concat(F.when(F.col("c_acctbal").cast("string").startswith("-"), "-").otherwise(""), F.format_string("%.2f", balance))
+    text = F.concat_ws(" ", word, F.when(F.col("c_acctbal").isNotNull(), shown), F.lit("a month. More"))
+    found = t.customer.select("c_custkey", "c_acctbal", model.extracted(text, {"amount": "number", "agreed": "boolean", "note": "string"}).alias("x"))
+    note = F.when(F.col("c_acctbal").isNotNull(), F.col("x.note.str"))
+    return found.select("c_custkey", F.col("x.amount.num").alias("amount"), F.coalesce("x.agreed.bool", F.lit(False)).alias("agreed"), note.alias("note"))
 
 
 @query("""

@@ -36,3 +36,9 @@ def test_exact_mean(spark):
     rows = [(1, 0.1), (1, 0.2), (1, 0.3), (2, 0.2), (3, 1e300), (3, 1e300), (4, None), (5, 0.125), (5, 0.25), (6, float("nan")), (6, 1.0), (7, -0.01), (7, None), (8, 9e16), (8, 9e16)]
     got = {r.k: r.m for r in spark.createDataFrame(rows, "k int, x double").groupBy("k").agg(stats.exact_mean(F.col("x")).alias("m")).collect()}
     assert got.pop(6) != got.get(6) and got == {1: 0.2, 2: 0.2, 3: 1e300, 4: None, 5: 0.1875, 7: -0.01, 8: 9e16}
+
+
+def test_model_fields(spark, tmp_path):
+    """Large amounts, halves that doubles miss, zeros with a sign, and none."""
+    amounts = [12345678.91, -1e7, 99999999999.99, 1e9, 9999999.99, 1.005, 2.675, 0.125, -0.125, -0.004, -0.005, 0.0, -0.0, 1e-7, None, None, 42.0]
+    assert same(*both(spark, tmp_path, "q_model_fields", "customer", [*enumerate(amounts)], "c_custkey long, c_acctbal double"))
